@@ -58,27 +58,40 @@ def resolve_path(including: str, path: str) -> str:
     return scheme + posixpath.normpath(posixpath.join(posixpath.dirname(rest), path))
 
 
+# --- lines of a book ---
+
 _GAP = "[ \\t]+"
-_END = "[ \\t]*(?:;.*)?$"
 _DATE = r"(\d{4}-\d{2}-\d{2})"
 _ACCOUNT = r"((?:" + "|".join(ACCOUNT_ROOTS) + r")(?::[\p{IsAlphabetic}\p{N}-]+)+)"
 _NUMBER = r"(-?\d{1,28}(?:\.\d+)?)"
 _COMMODITY = "([A-Z0-9_]+)"
 _QUOTED = '"([^"]+)"'
-
-#: What makes a line one kind of statement, with its fields as groups.
-LINE_PATTERNS = {
-    "open": f"^{_DATE}{_GAP}open{_GAP}{_ACCOUNT}",
-    "close": f"^{_DATE}{_GAP}close{_GAP}{_ACCOUNT}",
-    "balance": f"^{_DATE}{_GAP}balance{_GAP}{_ACCOUNT}{_GAP}{_NUMBER}{_GAP}{_COMMODITY}",
-    "include": f"^include{_GAP}{_QUOTED}",
-    "header": f"^{_DATE}{_GAP}\\*{_GAP}{_QUOTED}(?:{_GAP}(#[A-Za-z0-9]+(?: #[A-Za-z0-9]+)*))?",
-    "event": f"^{_DATE}{_GAP}event{_GAP}{_QUOTED}{_GAP}{_QUOTED}",
-    "option": f"^option{_GAP}{_QUOTED}{_GAP}{_QUOTED}",
-    "posting": (
-        f"^ {{2}}{_ACCOUNT}(?:{_GAP}{_NUMBER}{_GAP}{_COMMODITY})?"
-        f"(?:{_GAP}@@{_GAP}{_NUMBER}{_GAP}{_COMMODITY})?"
-    ),
-    "custom": f"^{_DATE}{_GAP}custom(.*)",
-}
-LINE_END = _END
+_AMOUNT = f"{_GAP}{_NUMBER}{_GAP}{_COMMODITY}"
+
+#: Fields of each group of statements, for lines known to be one of them.
+VERIFICATION = f"^{_DATE}{_GAP}(?:open|close|balance){_GAP}{_ACCOUNT}(?:{_AMOUNT})?"
+HEADER = f"^{_DATE}{_GAP}\\*{_GAP}{_QUOTED}(?:{_GAP}(#[A-Za-z0-9]+(?: #[A-Za-z0-9]+)*))?"
+POSTING = f"^ {{2}}{_ACCOUNT}(?:{_AMOUNT})?(?:{_GAP}@@{_AMOUNT})?"
+INCLUDE = f"^include{_GAP}{_QUOTED}"
+TWO_QUOTED = f"{_QUOTED}{_GAP}{_QUOTED}"
+CUSTOM = f"^{_DATE}{_GAP}custom(.*)"
+
+#: The word that names an unindented statement; the date before it is optional here.
+STATEMENT_WORD = (
+    r"^(?:\d{4}-\d{2}-\d{2}[ \t]+)?(open|close|balance|event|custom|\*|include|option)"
+)
+
+#: Any statement, from the start of the line to its own end.
+STATEMENT = (
+    f"^(?:{_DATE}{_GAP}(?:(?:open|close){_GAP}{_ACCOUNT}"
+    f"|balance{_GAP}{_ACCOUNT}{_AMOUNT}"
+    f"|\\*{_GAP}{_QUOTED}(?:{_GAP}#[A-Za-z0-9]+(?: #[A-Za-z0-9]+)*)?"
+    f"|event{_GAP}{TWO_QUOTED}"
+    f"|custom.*)"
+    f"|include{_GAP}{_QUOTED}"
+    f"|option{_GAP}{TWO_QUOTED}"
+    f"|{POSTING[1:]})"
+)
+
+#: What may follow a statement on its line.
+LINE_END = "[ \\t]*(?:;.*)?$"

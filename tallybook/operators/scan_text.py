@@ -11,7 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.order import carry_forward
-from tallybook.functions.text import LINE_END, LINE_PATTERNS
+from tallybook.functions.text import (
+    CUSTOM,
+    HEADER,
+    INCLUDE,
+    LINE_END,
+    POSTING,
+    STATEMENT,
+    STATEMENT_WORD,
+    TWO_QUOTED,
+    VERIFICATION,
+)
 from tallybook.model import (
     ACTION_BALANCE,
     ACTION_CLOSE,
@@ -24,20 +34,10 @@ from tallybook.model import (
 )
 from tallybook.operators.legs import default_cost_to_units
 
-#: Statements that begin with a date, by the word after it.
-_DATED = {
-    "open": "open",
-    "close": "close",
-    "balance": "balance",
-    "header": "*",
-    "event": "event",
-    "custom": "custom",
-}
-
 
-def _field(kind: str, group: int) -> Column:
-    """Group of the kind's pattern; null when it did not take part."""
-    return F.nullif(F.regexp_extract("line", LINE_PATTERNS[kind], group), F.lit(""))
+def _field(pattern: str, group: int) -> Column:
+    """Group of a pattern; null when it did not take part."""
+    return F.nullif(F.regexp_extract("line", pattern, group), F.lit(""))
 
 
 def _date() -> Column:
@@ -45,45 +45,28 @@ def _date() -> Column:
 
 
 def _kind() -> Column:
-    """Statement kind of a line, ``blank``, ``comment``, ``other`` or ``reject``.
+    """Statement word of a line, ``posting``, ``blank``, ``comment``, ``other`` or ``reject``.
 
     A line that is a statement up to some point and then goes on, an indented line
     that is no posting, and a quoted text that does not end are rejects. Lines that
     resemble no statement are ``other`` and carry no meaning.
     """
     line = F.col("line")
-    bare = F.regexp_extract("line", r"^[ \t]*(.?)", 1)
-
-    def whole(kind: str) -> Column:
-        return line.rlike(LINE_PATTERNS[kind] + LINE_END)
-
-    word = F.regexp_extract("line", r"^\d{4}-\d{2}-\d{2}[ \t]+(open|close|balance|event|custom|\*)", 1)
-    dated = F.lit("other")
-    for kind, token in _DATED.items():
-        matches = F.lit(True) if kind == "custom" else whole(kind)
-        fault = line.rlike(LINE_PATTERNS[kind])
-        if kind in ("header", "event"):
-            fault = fault | (F.length(F.regexp_replace("line", '[^"]', "")) % 2 == 1)
-        dated = F.when(
-            word == token, F.when(matches, kind).when(fault, "reject").otherwise("other")
-        ).otherwise(dated)
-
-    undated = F.lit("other")
-    for kind in ("include", "option"):
-        undated = F.when(
-            line.startswith(kind),
-            F.when(whole(kind), kind)
-            .when(line.rlike(LINE_PATTERNS[kind]), "reject")
-            .otherwise("other"),
-        ).otherwise(undated)
-
+    first = F.substring(F.ltrim(F.translate("line", "\t", " ")), 1, 1)
+    indented = line.rlike("^[ \t]")
+    word = F.regexp_extract("line", STATEMENT_WORD, 1)
+    # A statement word after a date that does not exist makes no statement.
+    no_such_day = line.rlike(r"^\d") & _date().isNull()
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
     return (
-        F.when(bare == "", "blank")
-        .when(bare == ";", "comment")
-        .when(whole("posting"), "posting")
-        .when(line.rlike("^[ \t]"), "reject")
-        .when((word != "") & _date().isNotNull(), dated)
-        .otherwise(undated)
+        F.when(first == "", "blank")
+        .when(first == ";", "comment")
+        .when(line.rlike(STATEMENT + LINE_END) & ~no_such_day, F.when(indented, "posting").otherwise(word))
+        .when(indented, "reject")
+        .when((word == "") | no_such_day, "other")
+        .when(line.rlike(STATEMENT), "reject")
+        .when(word.isin("*", "event") & (quotes % 2 == 1), "reject")
+        .otherwise("other")
     )
 
 
@@ -104,7 +87,7 @@ def scan_text(lines: DataFrame) -> Book:
         verifications=_verifications(placed),
         informationals=_informationals(placed),
         includes=placed.filter(F.col("kind") == "include").select(
-            *_PLACE, _field("include", 1).alias("path")
+            *_PLACE, _field(INCLUDE, 1).alias("path")
         ),
         rejects=_rejects(placed),
     )
@@ -114,46 +97,42 @@ _PLACE = ("statement_no", "file_no")
 
 
 def _transactions(placed: DataFrame) -> DataFrame:
-    return placed.filter(F.col("kind") == "header").select(
+    return placed.filter(F.col("kind") == "*").select(
         *_PLACE,
         _date().alias("date"),
-        _field("header", 2).alias("narration"),
-        _field("header", 3).alias("tags"),
+        _field(HEADER, 2).alias("narration"),
+        _field(HEADER, 3).alias("tags"),
     )
 
 
 def _postings(placed: DataFrame) -> DataFrame:
-    written = placed.filter((F.col("kind") == "posting") & (F.col("opener") == "header")).select(
+    written = placed.filter((F.col("kind") == "posting") & (F.col("opener") == "*")).select(
         "statement_no",
         F.col("opener_no").alias("transaction_no"),
         "file_no",
-        _field("posting", 1).alias("account"),
-        _field("posting", 2).cast(RAW).alias("cp_quantity"),
-        _field("posting", 3).alias("cp_commodity"),
-        _field("posting", 4).cast(RAW).alias("tc_quantity"),
-        _field("posting", 5).alias("tc_commodity"),
+        _field(POSTING, 1).alias("account"),
+        _field(POSTING, 2).cast(RAW).alias("cp_quantity"),
+        _field(POSTING, 3).alias("cp_commodity"),
+        _field(POSTING, 4).cast(RAW).alias("tc_quantity"),
+        _field(POSTING, 5).alias("tc_commodity"),
     )
     return default_cost_to_units(written)
 
 
 def _verifications(placed: DataFrame) -> DataFrame:
     kind = F.col("kind")
-    is_balance = kind == "balance"
-    account = (
-        F.when(kind == "open", _field("open", 2))
-        .when(kind == "close", _field("close", 2))
-        .otherwise(_field("balance", 2))
-    )
     action = (
-        F.when(kind == "open", ACTION_OPEN).when(is_balance, ACTION_BALANCE).otherwise(ACTION_CLOSE)
+        F.when(kind == "open", ACTION_OPEN)
+        .when(kind == "balance", ACTION_BALANCE)
+        .otherwise(ACTION_CLOSE)
     )
     return placed.filter(kind.isin("open", "close", "balance")).select(
         *_PLACE,
         _date().alias("date"),
         action.alias("action"),
-        account.alias("account"),
-        F.when(is_balance, _field("balance", 3)).cast(RAW).alias("quantity"),
-        F.when(is_balance, _field("balance", 4)).alias("commodity"),
+        _field(VERIFICATION, 2).alias("account"),
+        _field(VERIFICATION, 3).cast(RAW).alias("quantity"),
+        _field(VERIFICATION, 4).alias("commodity"),
     )
 
 
@@ -164,16 +143,14 @@ def _informationals(placed: DataFrame) -> DataFrame:
         .when(kind == "option", ACTION_OPTION)
         .otherwise(ACTION_CUSTOM)
     )
+    is_custom = kind == "custom"
     return placed.filter(kind.isin("event", "option", "custom")).select(
         *_PLACE,
         F.when(kind != "option", _date()).alias("date"),
         action.alias("action"),
-        F.when(kind == "event", _field("event", 2))
-        .when(kind == "option", _field("option", 1))
-        .alias("attribute"),
-        F.when(kind == "event", _field("event", 3))
-        .when(kind == "option", _field("option", 2))
-        .otherwise(F.regexp_extract("line", LINE_PATTERNS["custom"], 2))
+        F.when(~is_custom, _field(TWO_QUOTED, 1)).alias("attribute"),
+        F.when(is_custom, F.regexp_extract("line", CUSTOM, 2))
+        .otherwise(_field(TWO_QUOTED, 2))
         .alias("value"),
     )
 
@@ -181,7 +158,7 @@ def _informationals(placed: DataFrame) -> DataFrame:
 def _rejects(placed: DataFrame) -> DataFrame:
     kind = F.col("kind")
     reason = F.when(kind == "reject", "not a complete statement").when(
-        (kind == "posting") & ~F.coalesce(F.col("opener") == "header", F.lit(False)),
+        (kind == "posting") & ~F.coalesce(F.col("opener") == "*", F.lit(False)),
         "posting without a transaction",
     )
     return placed.select(*_PLACE, "line", reason.alias("reason")).filter(

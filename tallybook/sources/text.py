@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.functions.text import LINE_END, LINE_PATTERNS, resolve_path
+from tallybook.functions.text import INCLUDE, LINE_END, resolve_path
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -31,7 +31,7 @@ def _include_edges(lines: DataFrame) -> list[tuple[str, str]]:
     What comes to the driver is the list of input files, which ``spark.read`` needs
     there anyway.
     """
-    path = F.regexp_extract("line", LINE_PATTERNS["include"] + LINE_END, 1)
+    path = F.regexp_extract("line", INCLUDE + LINE_END, 1)
     found = (
         lines.filter(F.col("line").startswith("include"))
         .select("file", "chunk", "pos", path.alias("path"))
