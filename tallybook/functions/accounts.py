@@ -32,9 +32,23 @@ def account_name(kind: str, owner: Column | str, number: Column | str = "") -> C
     return F.format_string(template, as_column(owner), as_column(number))
 
 
+def _by_kind(kind: Column, texts: dict[str, str]) -> Column:
+    pairs = [F.lit(part) for entry in texts.items() for part in entry]
+    return F.try_element_at(F.create_map(*pairs), kind)
+
+
 def account_by_kind(kind: Column, owner: Column | str, number: Column | str = "") -> Column:
     """The account for a per-row kind; null when the kind is unknown."""
-    chosen = F.lit(None).cast("string")
-    for name in PATTERNS:
-        chosen = F.when(kind == name, account_name(name, owner, number)).otherwise(chosen)
-    return chosen
+    before, between, after = {}, {}, {}
+    for name, pattern in PATTERNS.items():
+        before[name], rest = pattern.split("{owner}")
+        between[name], *tail = rest.split("{number}")
+        if tail:
+            after[name] = tail[0]
+    numbered = F.concat(as_column(number), _by_kind(kind, after))
+    return F.concat(
+        _by_kind(kind, before),
+        as_column(owner),
+        _by_kind(kind, between),
+        F.coalesce(numbered, F.lit("")),
+    )

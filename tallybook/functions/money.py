@@ -13,7 +13,7 @@ _PLAIN_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)$"
 
 def parse_money(text: Column) -> Column:
     """Decimal value of money text; ``$`` and ``,`` are ignored, null if it is not a number."""
-    bare = F.regexp_replace(text, "[$,]", "")
+    bare = F.translate(text, "$,", "")
     return F.when(bare.rlike(_PLAIN_NUMBER), bare.try_cast(RAW))
 
 

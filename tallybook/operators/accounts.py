@@ -16,13 +16,11 @@ def account_hierarchy(postings: DataFrame, ordered: bool = True) -> DataFrame:
     paths = postings.select("account").distinct().select(
         F.split("account", ACCOUNT_SEP).alias("path")
     )
-    every = paths.select(
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n)
-            )
-        ).alias("path")
-    ).distinct()
+    every = (
+        paths.select("path", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("depth"))
+        .select(F.slice("path", F.lit(1), F.col("depth")).alias("path"))
+        .distinct()
+    )
     if ordered:
         every = every.orderBy(F.col("path").asc_nulls_first())
     return every.select(F.array_join("path", ACCOUNT_SEP).alias("account"))

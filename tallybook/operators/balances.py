@@ -8,7 +8,7 @@ accounts is ever compared.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.model import measure
@@ -72,12 +72,6 @@ def account_totals_from_raw(postings: DataFrame, by: str) -> DataFrame:
     )
 
 
-def _prefixes(account: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.length(account)), lambda n: F.substring(account, F.lit(1), n)
-    )
-
-
 def spread_totals(
     totals: DataFrame, accounts: DataFrame, by: str, ordered: bool = True
 ) -> DataFrame:
@@ -86,9 +80,11 @@ def spread_totals(
     posted = totals.filter(F.col(m.commodity_final).isNotNull()).withColumnRenamed(
         "account", "account_right"
     )
+    prefixes = accounts.select(
+        "account", F.explode(F.sequence(F.lit(1), F.length("account"))).alias("upto")
+    ).select("account", F.substring("account", F.lit(1), F.col("upto")).alias("account_right"))
     held = (
-        accounts.select("account", F.explode(_prefixes(F.col("account"))).alias("account_right"))
-        .join(posted, "account_right")
+        prefixes.join(posted, "account_right")
         .groupBy("account", m.commodity_final)
         .agg(F.sum("total").alias("total"))
     )

@@ -24,31 +24,33 @@ from tallybook.functions.money import (
 )
 from tallybook.functions.text import strip
 from tallybook.model import ACTION_BALANCE, RAW, Book
-from tallybook.operators.legs import emit, leg, legs
+from tallybook.operators.legs import emit, leg, with_legs
 from tallybook.operators.lookups import add_owners, add_symbols
 from tallybook.operators.rules import (
     ACTIVITY_CODES,
     CLOSED_CODES,
     MISSING_ACTIVITY_SYMBOL,
     MISSING_SYMBOL,
-    by_code,
-    by_prefix,
-    choose,
+    US_PREFIXES,
+    Rule,
+    of_rule,
+    rule_by_code,
+    rule_by_prefix,
 )
 
 
-def _split_rejects(
-    rows: DataFrame, faults: Sequence[tuple[Column, str]], original: Sequence[str]
-) -> tuple[DataFrame, DataFrame]:
-    """(rows without a fault, faulty rows with the first fault as ``reason``)."""
+def _judge(rows: DataFrame, faults: Sequence[tuple[Column, str]]) -> DataFrame:
+    """Add ``reason``: the first fault of the row, null when it is in order."""
     checks = list(faults)
     if "malformed" in rows.columns:
         checks.insert(0, (F.col("malformed"), "wrong number of fields"))
-    reason = F.coalesce(*[F.when(fault, F.lit(text)) for fault, text in checks])
-    judged = rows.withColumn("reason", reason)
-    accepted = judged.filter(F.col("reason").isNull()).drop("reason")
-    rejects = judged.filter(F.col("reason").isNotNull()).select(*original, "reason")
-    return accepted, rejects
+    return rows.withColumn(
+        "reason", F.coalesce(*[F.when(fault, F.lit(text)) for fault, text in checks])
+    )
+
+
+def _refused(rows: DataFrame, original: Sequence[str]) -> DataFrame:
+    return rows.filter(F.col("reason").isNotNull()).select(*original, "reason")
 
 
 def _not_a_number(name: str) -> tuple[Column, str]:
@@ -59,8 +61,17 @@ def _with_values(rows: DataFrame, *names: str) -> DataFrame:
     return rows.withColumns({f"{name}_value": parse_money(F.col(name)) for name in names})
 
 
-def _book(rows: DataFrame, rejects: DataFrame, consecutive: bool) -> Book:
-    transactions, postings, skipped = emit(rows, consecutive)
+def _with_rule(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Add the fields of the row's rule. A refused row has no template, hence no legs."""
+    fields = {
+        name: of_rule(F.col("rule"), rules, name) for name in ("counter", "currency", "display")
+    }
+    template = F.when(F.col("reason").isNull(), of_rule(F.col("rule"), rules, "template"))
+    return rows.withColumns({**fields, "template": template})
+
+
+def _book(rows: DataFrame, rejects: DataFrame, original: Sequence[str], consecutive: bool) -> Book:
+    transactions, postings, skipped = emit(rows, original, consecutive)
     return Book(transactions, postings, rejects=rejects, skipped=skipped)
 
 
@@ -80,40 +91,48 @@ def import_us(
     original = rows.columns
     rows = _with_values(rows, "net_amount").withColumns(
         {
-            "rule": by_prefix(F.col("description")),
+            "rule": rule_by_prefix(F.col("description")),
             "date": month_first(F.col("settlement_date")),
             "units": parse_money(F.col("quantity")),
         }
     )
-    rows, rejects = _split_rejects(rows, [_not_a_number("net_amount")], original)
+    rows = _judge(rows, [_not_a_number("net_amount")])
+    rejects = _refused(rows, original)
 
     security = F.when(F.col("security_id") == "", MISSING_SYMBOL).otherwise(F.col("security_id"))
-    has_symbol = F.col("security_id") != ""
-    units = rescale(F.coalesce("units", F.lit(0).cast(RAW)))
-    commodity = F.when(
-        F.col("units").isNull(), F.concat(F.lit("Error"), "quantity", F.lit(" "), security)
-    ).otherwise(security)
-    amount = rescale(F.col("net_amount_value"))
-
-    cash = leg(account_name("Cash", owner, account), (amount, currency))
-    counter = leg(account_by_kind(F.col("rule.counter"), owner))
-    securities = account_name("Securities", owner, account)
-    bought = leg(securities, (units, commodity), (force_positive(amount), currency))
-    sold = leg(securities, (force_negative(units), commodity))
-    expanded = choose(
-        F.col("rule.template"),
+    is_sale = F.col("template") == "sell"
+    rows = _with_rule(rows, US_PREFIXES).withColumns(
         {
-            "buy": F.when(has_symbol, legs(bought, cash)),
-            "sell": F.when(has_symbol, legs(sold, cash, counter)),
-            "cash": legs(cash, counter),
-            "transfer": legs(F.when(has_symbol, bought).otherwise(cash), counter),
-        },
+            "amount": rescale(F.col("net_amount_value")),
+            "template": F.when(F.col("date").isNotNull(), F.col("template")),
+            "commodity": F.when(
+                F.col("units").isNull(), F.concat(F.lit("Error"), "quantity", F.lit(" "), security)
+            ).otherwise(security),
+            "units": rescale(F.coalesce("units", F.lit(0).cast(RAW))),
+            "narration": strip(F.concat("description", F.lit("-"), "details")),
+        }
     )
-    narration = strip(F.concat("description", F.lit("-"), "details"))
-    rows = rows.withColumns(
-        {"legs": F.when(F.col("date").isNotNull(), expanded), "narration": narration}
+    amount, has_symbol = F.col("amount"), F.col("security_id") != ""
+    units = F.when(is_sale, force_negative(F.col("units"))).otherwise(F.col("units"))
+    cost = F.when(~is_sale, force_positive(amount)), F.when(~is_sale, as_column(currency))
+    trades = F.col("template").isin("buy", "sell") & has_symbol
+    moves_securities = (F.col("template") == "transfer") & has_symbol
+    only_cash = (F.col("template") == "cash") | ((F.col("template") == "transfer") & ~has_symbol)
+    rows = with_legs(
+        rows,
+        [
+            (
+                trades | moves_securities,
+                leg(account_name("Securities", owner, account), (units, F.col("commodity")), cost),
+            ),
+            (trades | only_cash, leg(account_name("Cash", owner, account), (amount, currency))),
+            (
+                (is_sale & has_symbol) | moves_securities | only_cash,
+                leg(account_by_kind(F.col("counter"), owner)),
+            ),
+        ],
     )
-    return _book(rows, rejects, consecutive)
+    return _book(rows, rejects, original, consecutive)
 
 
 def import_activities(
@@ -129,11 +148,11 @@ def import_activities(
     original = rows.columns
     rows = _with_values(rows, "price", "quantity", "amount").withColumns(
         {
-            "rule": by_code(F.col("tran_types"), ACTIVITY_CODES),
+            "rule": rule_by_code(F.col("tran_types"), ACTIVITY_CODES),
             "date": year_first(F.col("settled")),
         }
     )
-    rows, rejects = _split_rejects(
+    rows = _judge(
         rows,
         [
             (F.col("rule").isNull(), "unknown transaction type"),
@@ -142,36 +161,50 @@ def import_activities(
             _not_a_number("amount"),
             (F.col("date").isNull(), "settled is not a date"),
         ],
-        original,
     )
-    rows = add_symbols(rows, symbols, missing)
-
-    amount = rescale(F.col("amount_value"))
-    cost = force_positive(price_times_quantity(F.col("price_value"), F.col("quantity_value")))
-    units = (rescale(F.col("quantity_value")), F.col("symbol"))
-    used_currency = F.coalesce("rule.currency", as_column(currency))
-
-    cash = leg(account_name("Cash", owner, account), (amount, used_currency))
-    securities = account_name("Securities", owner, account)
-    counter_account = account_by_kind(F.col("rule.counter"), owner)
-    counter = leg(counter_account)
-    at_cost = leg(securities, units, (cost, used_currency))
-    expanded = choose(
-        F.col("rule.template"),
+    rejects = _refused(rows, original)
+    rows = _with_rule(add_symbols(rows, symbols, missing), ACTIVITY_CODES).withColumns(
         {
-            "buy": legs(leg(securities, units, (force_positive(amount), used_currency)), cash),
-            "sell": legs(leg(securities, units), cash, counter),
-            "cash": legs(cash, counter),
-            "transfer": legs(
-                F.when(F.col("amount_value") != 0, cash),
-                F.when(F.col("quantity_value") != 0, at_cost),
-                counter,
+            "cash_amount": rescale(F.col("amount_value")),
+            "units": rescale(F.col("quantity_value")),
+            "cost": force_positive(
+                price_times_quantity(F.col("price_value"), F.col("quantity_value"))
+            ),
+            "used_currency": F.coalesce("currency", as_column(currency)),
+            "narration": F.concat("display", F.lit(":"), "description"),
+        }
+    )
+    template, amount, used = F.col("template"), F.col("cash_amount"), F.col("used_currency")
+    trades, is_sale = template.isin("buy", "sell"), template == "sell"
+    is_transfer, reinvests = template == "transfer", template == "reinvest"
+    only_cash = template == "cash"
+    cash = leg(account_name("Cash", owner, account), (amount, used))
+    cost = F.when(template == "buy", force_positive(amount)).when(
+        is_transfer | reinvests, F.col("cost")
+    )
+    rows = with_legs(
+        rows,
+        [
+            (is_transfer & (F.col("amount_value") != 0), cash),
+            (
+                trades | reinvests | (is_transfer & (F.col("quantity_value") != 0)),
+                leg(
+                    account_name("Securities", owner, account),
+                    (F.col("units"), F.col("symbol")),
+                    (cost, F.when(~is_sale, used)),
+                ),
             ),
-            "reinvest": legs(at_cost, leg(counter_account, (reverse_sign(cost), used_currency))),
-        },
+            (trades | only_cash, cash),
+            (
+                is_sale | only_cash | is_transfer | reinvests,
+                leg(
+                    account_by_kind(F.col("counter"), owner),
+                    (F.when(reinvests, reverse_sign(F.col("cost"))), F.when(reinvests, used)),
+                ),
+            ),
+        ],
     )
-    narration = F.concat("rule.display", F.lit(":"), "description")
-    return _book(rows.withColumns({"legs": expanded, "narration": narration}), rejects, consecutive)
+    return _book(rows, rejects, original, consecutive)
 
 
 def import_closed(
@@ -182,33 +215,54 @@ def import_closed(
     consecutive: bool = False,
 ) -> Book:
     """Closed-account rows. A positive amount there means cash going out."""
-    rows, rejects = _accept_closed(rows)
-    amount = reverse_sign(rescale(F.col("amount_value")))
-    cost = force_positive(rescale(F.col("cost_value")))
+    original = rows.columns
+    rows = _judge_closed(rows)
+    rejects = _refused(rows, original)
     has_symbol = F.col("symbol") != ""
-    symbol = F.when(has_symbol, F.col("symbol")).otherwise(MISSING_SYMBOL)
-    units = (rescale(F.col("quantity_value")), symbol)
-    used_currency = F.coalesce("rule.currency", as_column(currency))
-
-    cash = leg(account_name("Cash", owner, account), (amount, used_currency))
-    securities = account_name("Securities", owner, account)
-    at_cost = leg(securities, units, (cost, used_currency))
-    counter = leg(account_by_kind(F.col("rule.counter"), owner))
-    moves_cash = F.col("amount_value") != 0
-    expanded = choose(
-        F.col("rule.template"),
+    rows = _with_rule(rows, CLOSED_CODES).withColumns(
         {
-            "buy": F.when(has_symbol, legs(at_cost, cash)),
-            "sell": F.when(has_symbol, legs(leg(securities, units), cash, counter)),
-            "cash": legs(cash, counter),
-            "transfer": legs(F.when(has_symbol, at_cost).otherwise(cash), counter),
-            "dividend": F.when(moves_cash, legs(cash, counter)).when(
-                F.col("cost_value") != 0, legs(at_cost, counter)
+            "cash_amount": reverse_sign(rescale(F.col("amount_value"))),
+            "units": rescale(F.col("quantity_value")),
+            "at_cost": force_positive(rescale(F.col("cost_value"))),
+            "commodity": F.when(has_symbol, F.col("symbol")).otherwise(MISSING_SYMBOL),
+            "used_currency": F.coalesce("currency", as_column(currency)),
+            "narration": strip(F.concat("tran", F.lit(" - "), "description")),
+        }
+    )
+    template, used = F.col("template"), F.col("used_currency")
+    is_sale, is_transfer, is_dividend = (
+        template == "sell",
+        template == "transfer",
+        template == "dividend",
+    )
+    trades = template.isin("buy", "sell") & has_symbol
+    pays = F.col("amount_value") != 0
+    moves_securities = (is_transfer & has_symbol) | (
+        is_dividend & ~pays & (F.col("cost_value") != 0)
+    )
+    only_cash = (template == "cash") | (is_transfer & ~has_symbol) | (is_dividend & pays)
+    rows = with_legs(
+        rows,
+        [
+            (
+                trades | moves_securities,
+                leg(
+                    account_name("Securities", owner, account),
+                    (F.col("units"), F.col("commodity")),
+                    (F.when(~is_sale, F.col("at_cost")), F.when(~is_sale, used)),
+                ),
+            ),
+            (
+                trades | only_cash,
+                leg(account_name("Cash", owner, account), (F.col("cash_amount"), used)),
             ),
-        },
+            (
+                (is_sale & has_symbol) | moves_securities | only_cash,
+                leg(account_by_kind(F.col("counter"), owner)),
+            ),
+        ],
     )
-    narration = strip(F.concat("tran", F.lit(" - "), "description"))
-    return _book(rows.withColumns({"legs": expanded, "narration": narration}), rejects, consecutive)
+    return _book(rows, rejects, original, consecutive)
 
 
 def closed_commodities(rows: DataFrame) -> DataFrame:
@@ -216,18 +270,17 @@ def closed_commodities(rows: DataFrame) -> DataFrame:
 
     Whether the row makes postings does not matter.
     """
-    accepted, _ = _accept_closed(rows)
+    accepted = _judge_closed(rows).filter(F.col("reason").isNull())
     return accepted.select(strip(F.col("symbol")).alias("symbol"), "description").filter(
         F.col("symbol") != ""
     )
 
 
-def _accept_closed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    original = rows.columns
+def _judge_closed(rows: DataFrame) -> DataFrame:
     rows = _with_values(rows, "quantity", "cost", "price", "amount").withColumns(
-        {"rule": by_code(F.col("tran"), CLOSED_CODES), "date": year_first(F.col("settle_date"))}
+        {"rule": rule_by_code(F.col("tran"), CLOSED_CODES), "date": year_first(F.col("settle_date"))}
     )
-    return _split_rejects(
+    return _judge(
         rows,
         [
             (F.col("rule").isNull(), "unknown transaction type"),
@@ -237,7 +290,6 @@ def _accept_closed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             _not_a_number("amount"),
             (F.col("date").isNull(), "settle_date is not a date"),
         ],
-        original,
     )
 
 
@@ -251,10 +303,9 @@ def import_holdings(
     """
     original = rows.columns
     rows = _with_values(rows, "quantity", "book_value")
-    rows, rejects = _split_rejects(
-        rows, [_not_a_number("quantity"), _not_a_number("book_value")], original
-    )
-    rows = add_owners(rows, owners)
+    rows = _judge(rows, [_not_a_number("quantity"), _not_a_number("book_value")])
+    rejects = _refused(rows, original)
+    rows = add_owners(rows.filter(F.col("reason").isNull()), owners)
     is_cash = F.col("holding") == "CASH"
     owner, number = F.col("owner"), F.col("account_number")
     balances = rows.select(

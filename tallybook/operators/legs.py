@@ -6,6 +6,8 @@ of legs; ``emit`` turns those arrays into transactions and postings.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,43 +36,72 @@ def leg(
     )
 
 
-def legs(*parts: Column) -> Column:
-    """The legs that apply, in order; a part that does not apply is null."""
-    return F.array_compact(F.array(*parts))
+def with_legs(rows: DataFrame, parts: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """Add ``legs`` and ``n_legs`` from (does it apply, leg) pairs, in leg order.
 
+    A leg that does not apply is null in the array; one that does carries its place
+    among those that do. A row that is in order but makes no posting has a single
+    entry with the place -1. Rows with a ``reason`` to refuse them have none.
+    """
+    flags = [f"_applies_{at}" for at in range(len(parts))]
+    rows = rows.withColumns(
+        {
+            flag: F.coalesce(applies, F.lit(False)).cast("int")
+            for flag, (applies, _) in zip(flags, parts)
+        }
+    )
+    place = F.lit(0)
+    placed = []
+    for flag, (_, part) in zip(flags, parts):
+        placed.append(F.when(F.col(flag) == 1, F.struct(place.alias("leg_no"), part.alias("leg"))))
+        place = place + F.col(flag)
+    nothing = leg(F.lit(None).cast("string")).alias("leg")
+    placed.append(
+        F.when(
+            (place == 0) & F.col("reason").isNull(), F.struct(F.lit(-1).alias("leg_no"), nothing)
+        )
+    )
+    return rows.withColumns({"legs": F.array(*placed), "n_legs": place}).drop(*flags)
+
+
+def emit(
+    rows: DataFrame, original: Sequence[str], consecutive: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(transactions, postings, rows without postings) of rows after ``with_legs``.
 
-def emit(rows: DataFrame, consecutive: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(transactions, postings, rows without legs) of rows that carry ``legs``.
+    Rows need ``row_no``, ``date`` and ``narration``. Statement numbers grow with
+    ``row_no``; each row owns a block of ``NUMBERS_PER_ROW`` of them, so numbering
+    needs no shuffle. With ``consecutive`` the numbers count every header and leg in
+    document order from zero, and a row without legs takes one number; that costs a
+    running total over ``file``, ``chunk`` and ``pos``.
 
-    Rows need ``row_no``, ``date``, ``narration`` and ``legs``. Statement numbers
-    grow with ``row_no``; each row owns a block of ``NUMBERS_PER_ROW`` of them, so
-    numbering needs no shuffle. With ``consecutive`` the numbers count every header
-    and leg in document order from zero, and a row without legs takes one number;
-    that costs a running total over ``file``, ``chunk`` and ``pos``.
+    All three tables select from the exploded legs. The outer explode keeps the
+    optimiser from deriving a filter on the array, which would evaluate the whole
+    import a second time below it.
     """
-    n_legs = F.when(F.col("legs").isNull(), 0).otherwise(F.size("legs"))
     if consecutive:
-        numbered = total_before(rows, 1 + n_legs).withColumnRenamed("total_before", "statement_no")
+        numbers = F.when(F.col("reason").isNull(), 1 + F.col("n_legs")).otherwise(0)
+        rows = total_before(rows, numbers).withColumnRenamed("total_before", "transaction_no")
     else:
-        numbered = rows.withColumn("statement_no", F.col("row_no") * NUMBERS_PER_ROW)
+        rows = rows.withColumn("transaction_no", F.col("row_no") * NUMBERS_PER_ROW)
 
-    has_legs = n_legs > 0
+    exploded = rows.select("*", F.explode_outer("legs").alias("at"))
+    place = F.col("at.leg_no")
     file_no = F.lit(0).cast("long").alias("file_no")
-    transactions = numbered.filter(has_legs).select(
-        "statement_no", file_no, "date", "narration", F.lit(None).cast("string").alias("tags")
+    transactions = exploded.filter(place == 0).select(
+        F.col("transaction_no").alias("statement_no"),
+        file_no,
+        "date",
+        "narration",
+        F.lit(None).cast("string").alias("tags"),
     )
-    postings = (
-        numbered.select(
-            F.col("statement_no").alias("transaction_no"), F.posexplode("legs").alias("leg_no", "leg")
-        )
-        .select(
-            (F.col("transaction_no") + 1 + F.col("leg_no")).alias("statement_no"),
-            "transaction_no",
-            file_no,
-            "leg.*",
-        )
+    postings = exploded.filter(place >= 0).select(
+        (F.col("transaction_no") + 1 + place).alias("statement_no"),
+        "transaction_no",
+        file_no,
+        "at.leg.*",
     )
-    return transactions, postings, rows.filter(~has_legs)
+    return transactions, postings, exploded.filter(place == -1).select(*original)
 
 
 def default_cost_to_units(postings: DataFrame) -> DataFrame:

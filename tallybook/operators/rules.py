@@ -7,7 +7,7 @@ expressions and no row is ever joined to them.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -100,31 +100,20 @@ MISSING_ACTIVITY_SYMBOL = "UNKNOENSEC"
 MISSING_SYMBOL = "UNKNOWNSEC"
 
 
-def _as_struct(rule: Rule) -> Column:
-    return F.struct(
-        *[
-            F.lit(value).cast("string").alias(name)
-            for name, value in rule._asdict().items()
-        ]
-    )
+def rule_by_prefix(text: Column, rules: Sequence[Rule] = US_PREFIXES) -> Column:
+    """Index of the first rule whose key the text starts with; null if none."""
+    return F.coalesce(*[F.when(text.startswith(rule.key), at) for at, rule in enumerate(rules)])
 
 
-def by_prefix(text: Column, rules: Sequence[Rule] = US_PREFIXES) -> Column:
-    """The first rule whose key the text starts with, as a struct; null if none."""
-    return F.coalesce(*[F.when(text.startswith(rule.key), _as_struct(rule)) for rule in rules])
-
-
-def by_code(code: Column, rules: Sequence[Rule]) -> Column:
-    """The rule of a code, as a struct; null for an unknown code."""
+def rule_by_code(code: Column, rules: Sequence[Rule]) -> Column:
+    """Index of the code's rule; null for an unknown code."""
     pairs: list[Column] = []
-    for rule in rules:
-        pairs += [F.lit(rule.key), _as_struct(rule)]
+    for at, rule in enumerate(rules):
+        pairs += [F.lit(rule.key), F.lit(at)]
     return F.try_element_at(F.create_map(*pairs), code)
 
 
-def choose(template: Column, legs: Mapping[str, Column]) -> Column:
-    """The legs of the row's template."""
-    chosen = F.lit(None)
-    for name, value in legs.items():
-        chosen = F.when(template == name, value).otherwise(chosen)
-    return chosen
+def of_rule(index: Column, rules: Sequence[Rule], field: str) -> Column:
+    """A field of the rule at ``index``."""
+    values = [F.lit(getattr(rule, field)).cast("string") for rule in rules]
+    return F.get(F.array(*values), index)

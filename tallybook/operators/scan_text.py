@@ -41,7 +41,7 @@ def _field(pattern: str, group: int) -> Column:
 
 
 def _date() -> Column:
-    return F.try_to_date(F.substring("line", 1, 10), "yyyy-MM-dd")
+    return F.substring("line", 1, 10).try_cast("date")
 
 
 def _kind() -> Column:

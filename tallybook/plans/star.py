@@ -67,7 +67,7 @@ def _item_postings(star: Star) -> DataFrame:
         .select("s_suppkey", _text("Assets:", _dashed("r_name"), ":", _dashed("n_name"), ":S").alias("place"))
     )
     no_cost = _every("l_orderkey", 5) & (F.col("l_linenumber") == 3)
-    cost = F.col("l_extendedprice").cast("decimal(38,2)").cast(RAW)
+    cost = F.col("l_extendedprice").cast("decimal(12,2)").cast(RAW)
     odd_cent = _every("l_orderkey", 19) & (F.col("l_linenumber") == 1)
     in_euro = _every("l_orderkey", 11) & _every("l_linenumber", 2)
     return star.lineitem.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select(
@@ -75,7 +75,7 @@ def _item_postings(star: Star) -> DataFrame:
         F.col("l_orderkey").alias("transaction_no"),
         _no_file(),
         _text(F.col("place"), F.col("l_suppkey")).alias("account"),
-        F.col("l_quantity").cast("decimal(38,2)").cast(RAW).alias("cp_quantity"),
+        F.col("l_quantity").cast("decimal(12,2)").cast(RAW).alias("cp_quantity"),
         _text("P", F.col("l_partkey") % 20).alias("cp_commodity"),
         F.when(~no_cost, F.when(odd_cent, cost + F.expr("0.005BD")).otherwise(cost))
         .cast(RAW)
@@ -132,7 +132,7 @@ def other_postings(star: Star) -> DataFrame:
 def verifications(star: Star) -> DataFrame:
     key = F.col("o_orderkey")
     is_balance = _every("o_orderkey", 3, 1)
-    price = F.col("o_totalprice").cast("decimal(38,2)").cast(RAW)
+    price = F.col("o_totalprice").cast("decimal(12,2)").cast(RAW)
     odd_cent = _every("o_orderkey", 19)
     return star.orders.select(
         key.alias("statement_no"),
