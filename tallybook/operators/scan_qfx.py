@@ -33,15 +33,20 @@ def _amount(text: Column) -> Column:
 
 def _place_tags(tags: DataFrame) -> DataFrame:
     """Leaf tags with their statement, part and (in a transaction) transaction number."""
-    name = F.upper(strip(F.regexp_extract("token", "^/?([^>]*)>", 1)))
-    parsed = tags.select(
-        "file",
-        "chunk",
-        "pos",
-        name.alias("tag"),
-        F.col("token").startswith("/").alias("closes"),
-        F.regexp_extract("token", "(?s)>(.*)", 1).alias("text"),
-    ).filter(F.col("tag") != "")
+    before = F.substring_index("token", ">", 1)
+    parsed = (
+        tags.filter(F.col("token").contains(">"))
+        .select(
+            "file",
+            "chunk",
+            "pos",
+            F.upper(F.btrim(before, F.lit("/ \t\r\n"))).alias("tag"),
+            F.col("token").startswith("/").alias("closes"),
+            F.substr("token", F.length(before) + 2).alias("text"),
+        )
+        # Other tags neither open a part nor hold a value that is used.
+        .filter(F.col("tag").isin(*_PARTS, *_IN_TRANSACTION, "STMTTRN", *_LEAVES))
+    )
     tag, opens = F.col("tag"), ~F.col("closes")
     part = (
         F.when(opens & tag.isin(*_PARTS, *_IN_TRANSACTION, "STMTTRN"), tag)

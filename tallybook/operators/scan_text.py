@@ -16,7 +16,6 @@ from tallybook.functions.text import (
     HEADER,
     INCLUDE,
     LINE_END,
-    POSTING,
     STATEMENT,
     STATEMENT_WORD,
     TWO_QUOTED,
@@ -106,17 +105,25 @@ def _transactions(placed: DataFrame) -> DataFrame:
 
 
 def _postings(placed: DataFrame) -> DataFrame:
+    # A posting has one, three, four (cost only) or six words.
+    words = F.split(F.btrim(F.substring_index("line", ";", 1), F.lit(" \t")), "[ \t]+")
     written = placed.filter((F.col("kind") == "posting") & (F.col("opener") == "*")).select(
-        "statement_no",
-        F.col("opener_no").alias("transaction_no"),
-        "file_no",
-        _field(POSTING, 1).alias("account"),
-        _field(POSTING, 2).cast(RAW).alias("cp_quantity"),
-        _field(POSTING, 3).alias("cp_commodity"),
-        _field(POSTING, 4).cast(RAW).alias("tc_quantity"),
-        _field(POSTING, 5).alias("tc_commodity"),
+        *_PLACE, F.col("opener_no").alias("transaction_no"), words.alias("words")
+    )
+    n, word = F.size("words"), F.col("words")
+    has_units, has_cost = n.isin(3, 6), n.isin(4, 6)
+    return default_cost_to_units(
+        written.select(
+            "statement_no",
+            "transaction_no",
+            "file_no",
+            word[0].alias("account"),
+            F.when(has_units, word[1]).cast(RAW).alias("cp_quantity"),
+            F.when(has_units, word[2]).alias("cp_commodity"),
+            F.when(has_cost, word[n - 2]).cast(RAW).alias("tc_quantity"),
+            F.when(has_cost, word[n - 1]).alias("tc_commodity"),
+        )
     )
-    return default_cost_to_units(written)
 
 
 def _verifications(placed: DataFrame) -> DataFrame:
