@@ -67,9 +67,35 @@ def _place_tags(tags: DataFrame) -> DataFrame:
     ).filter(F.col("value").isNotNull() & F.col("statement_no").isNotNull())
 
 
-def _value(tag: str) -> Column:
-    """The tag's value, or null when the group has no such tag."""
-    return F.max(F.when(F.col("tag") == tag, F.col("value")))
+def _entries(leaves: DataFrame) -> DataFrame:
+    """One row per statement, transaction and balance, with its values in ``leaf``.
+
+    All three come from one aggregate with the same columns, told apart afterwards by
+    an aggregated value, so that plans which use several of them share its shuffle.
+    """
+    part, tag = F.col("part"), F.col("tag")
+    names_statement = ((tag == "ACCTID") & part.isin(*_ACCOUNTS)) | (tag == "CURDEF")
+    kind = (
+        F.when(part == "STMTTRN", "move")
+        .when(part == "LEDGERBAL", "balance")
+        .when(names_statement, "statement")
+    )
+    number = (
+        F.when(kind == "move", F.col("transaction_no"))
+        .when(kind == "balance", F.col("part_no"))
+        .otherwise(F.col("statement_no"))
+    )
+    values = [F.max(F.when(tag == name, F.col("value"))).alias(name.lower()) for name in _LEAVES]
+    return (
+        leaves.withColumns({"kind": kind, "number": number})
+        .filter(F.col("kind").isNotNull())
+        .groupBy("number")
+        .agg(
+            F.max("kind").alias("kind"),
+            F.max("statement_no").alias("statement_no"),
+            F.struct(*values).alias("leaf"),
+        )
+    )
 
 
 def scan_qfx(tags: DataFrame, accounts: DataFrame, consecutive: bool = False) -> Book:
@@ -80,27 +106,19 @@ def scan_qfx(tags: DataFrame, accounts: DataFrame, consecutive: bool = False) ->
     Statement numbers grow in document order. With ``consecutive`` they count the
     transactions from one and then the balances, which costs two rankings.
     """
-    leaves = _place_tags(tags)
-    part, tag = F.col("part"), F.col("tag")
-
-    statements = (
-        leaves.filter(((tag == "ACCTID") & part.isin(*_ACCOUNTS)) | (tag == "CURDEF"))
-        .groupBy("statement_no")
-        .agg(_value("ACCTID").alias("account"), _value("CURDEF").alias("commodity"))
-    )
-
-    moves = leaves.filter(part == "STMTTRN").groupBy("transaction_no").agg(
-        F.max("statement_no").alias("statement_no"),
-        *[_value(name).alias(name.lower()) for name in ("DTPOSTED", "TRNAMT", "NAME", "MEMO")],
+    entries = _entries(_place_tags(tags))
+    statements = entries.filter(F.col("kind") == "statement").select(
+        "statement_no", "leaf.acctid", "leaf.curdef"
     )
-    held = leaves.filter(part == "LEDGERBAL").groupBy(F.col("part_no").alias("balance_no")).agg(
-        F.max("statement_no").alias("statement_no"),
-        *[_value(name).alias(name.lower()) for name in ("BALAMT", "DTASOF")],
+    moves = entries.filter(F.col("kind") == "move").select("number", "statement_no", "leaf.*")
+    held = entries.filter(F.col("kind") == "balance").select("number", "statement_no", "leaf.*")
+    statements = statements.select(
+        "statement_no", F.col("acctid").alias("account"), F.col("curdef").alias("commodity")
     )
 
     moves = name_accounts(
         moves.join(statements, "statement_no").select(
-            F.col("transaction_no").alias("number"),
+            "number",
             "account",
             "commodity",
             compact(F.col("dtposted")).alias("date"),
@@ -111,7 +129,7 @@ def scan_qfx(tags: DataFrame, accounts: DataFrame, consecutive: bool = False) ->
     )
     held = name_accounts(
         held.join(statements, "statement_no").select(
-            F.col("balance_no").alias("number"),
+            "number",
             "account",
             "commodity",
             compact(F.col("dtasof")).alias("date"),

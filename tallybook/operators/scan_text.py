@@ -69,17 +69,26 @@ def _kind() -> Column:
     )
 
 
-def scan_text(lines: DataFrame) -> Book:
+def scan_text(lines: DataFrame, folder: str | None = None) -> Book:
     """Tables of a book given as ``file_no, chunk, pos, line``.
 
     Statement numbers are line numbers that run on over the files in ``file_no``
     order. A header without postings keeps its transaction. A posting whose run was
     not opened by a header is a reject.
+
+    Every table is a selection of the classified lines. With ``folder``, a shared
+    folder, those are written there once, partitioned by kind of statement, and each
+    table reads its own partition; without it, each table scans the text again.
     """
     kinds = lines.withColumn("kind", _kind())
     placed = carry_forward(
         kinds, {"opener": F.when(F.col("kind") != "posting", F.col("kind"))}, file="file_no"
     ).withColumnRenamed("number", "statement_no")
+    if folder is not None:
+        placed.select(*_PLACE, "kind", "opener", "opener_no", "line").write.mode(
+            "overwrite"
+        ).partitionBy("kind").parquet(folder)
+        placed = lines.sparkSession.read.parquet(folder)
     return Book(
         transactions=_transactions(placed),
         postings=_postings(placed),

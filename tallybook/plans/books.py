@@ -78,9 +78,13 @@ def verify(book: Book, keep: bool = False, folder: str | None = None) -> Verifie
     return VerifiedBook(book, completed)
 
 
-def text_book(spark: SparkSession, path: str) -> Book:
-    """A plain-text book with everything it includes."""
-    return scan_text(read_book_lines(spark, path))
+def text_book(spark: SparkSession, path: str, folder: str | None = None) -> Book:
+    """A plain-text book with everything it includes.
+
+    ``folder`` stages the classified lines, so that several tables of a large book
+    cost one scan of its text.
+    """
+    return scan_text(read_book_lines(spark, path), folder)
 
 
 def us_book(

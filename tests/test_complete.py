@@ -249,6 +249,41 @@ def test_reconcile_is_one_way_and_ignores_copies(spark, bag):
     assert bag(reconcile(a, dates, a, dates), "account") == [("N",)]
 
 
+def test_dating_a_large_transaction_is_split(spark, tmp_path):
+    from datetime import date
+
+    path = str(tmp_path / "p")
+    book = hot_book(spark, 60000).withColumn("narration", F.sha2(F.col("statement_no").cast("string"), 512))
+    completed = book.selectExpr(
+        "transaction_no", "concat(account, narration) account",
+        "cp_quantity cp_quantity_final", "cp_commodity cp_commodity_final",
+        "tc_quantity tc_quantity_final", "tc_commodity tc_commodity_final",
+    )
+    completed.write.parquet(path)
+    completed = spark.read.parquet(path)
+    dates = table(spark, [(7, 0, date(2024, 1, 5), "n", None)], TRANSACTIONS)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "500000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "12",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        missing = reconcile(completed, dates, completed.limit(0), dates)
+        assert len(missing.collect()) == 180000
+        plan = missing._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert "skew=true" in plan
+
+
 def test_verifications_keep_two_decimals(spark, bag):
     from datetime import date
 

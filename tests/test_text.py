@@ -143,6 +143,15 @@ def test_includes_are_read_once_in_reading_order(spark, tmp_path, bag):
     assert len(bag(book.includes, "path")) == 5
 
 
+def test_staged_lines_give_the_same_tables(spark, book, tmp_path, bag):
+    (tmp_path / "main.book").write_text(BOOK)
+    staged = books.text_book(spark, str(tmp_path / "main.book"), folder=str(tmp_path / "stage"))
+    for name in ("transactions", "postings", "verifications", "informationals", "includes", "rejects"):
+        assert bag(getattr(staged, name)) == bag(getattr(book, name)), name
+    plan = staged.transactions._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kind" in plan
+
+
 def test_paths():
     assert resolve_path("file:/a/b/main.book", "c/d.book") == "file:/a/b/c/d.book"
     assert resolve_path("file:/a/b/main.book", "../d.book") == "file:/a/d.book"
