@@ -4,42 +4,26 @@ A scan yields rows as ``(file, chunk, pos)``: ``chunk`` is the split's offset in
 its file and ``pos`` grows within the split, so the three together are the
 document order although no task sees a whole file. The functions here answer
 "what stood last before this line" and "which number has this line" with one
-window per chunk (bounded by the split size) plus one window per file over a
-summary with a single row per chunk. A file of any size is therefore spread over
-as many tasks as it has splits.
+window per chunk (bounded by the split size) plus windows over a summary with a
+single row per chunk: 100 TB in splits of 128 MB make 800,000 such rows. A file of
+any size is therefore spread over as many tasks as it has splits.
 
 ``file`` may be any orderable column, such as a path or a file number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _earlier_chunks(file: str) -> W:
-    return W.partitionBy(file).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-
-
-def _with_base(summary: DataFrame, file: str) -> DataFrame:
+def _with_base(summary: DataFrame, file: Sequence[str]) -> DataFrame:
     """Add ``_base`` to one row per chunk: the sum of ``_size`` over all chunks before it."""
-    # One row per file, so this window sees as many rows as there are files.
-    earlier_files = W.orderBy(file).rowsBetween(W.unboundedPreceding, -1)
-    files = (
-        summary.groupBy(file)
-        .agg(F.sum("_size").alias("_file_size"))
-        .select(file, F.coalesce(F.sum("_file_size").over(earlier_files), F.lit(0)).alias("_file_base"))
-    )
-    in_file = F.coalesce(F.sum("_size").over(_earlier_chunks(file)), F.lit(0))
-    return (
-        summary.withColumn("_in_file", in_file)
-        .join(files, file)
-        .withColumn("_base", F.col("_file_base") + F.col("_in_file"))
-        .drop("_file_base", "_in_file")
-    )
+    earlier = W.orderBy(*file, "chunk").rowsBetween(W.unboundedPreceding, -1)
+    return summary.withColumn("_base", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
 
 
 def carry_forward(rows: DataFrame, marks: Mapping[str, Column], file: str = "file") -> DataFrame:
@@ -73,8 +57,9 @@ def carry_forward(rows: DataFrame, marks: Mapping[str, Column], file: str = "fil
                 for name in marks
             ],
         ),
-        file,
+        [file],
     ).withColumn("_shift", F.col("_base") - F.col("_first") + 1)
+    earlier = W.partitionBy(file).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     carried = summary.select(
         file,
         "chunk",
@@ -90,7 +75,7 @@ def carry_forward(rows: DataFrame, marks: Mapping[str, Column], file: str = "fil
                 ),
                 ignorenulls=True,
             )
-            .over(_earlier_chunks(file))
+            .over(earlier)
             .alias(f"_before_{name}")
             for name in marks
         ],
@@ -108,13 +93,14 @@ def carry_forward(rows: DataFrame, marks: Mapping[str, Column], file: str = "fil
     )
 
 
-def total_before(rows: DataFrame, weight: Column, file: str = "file") -> DataFrame:
+def total_before(rows: DataFrame, weight: Column, file: Sequence[str] = ("file",)) -> DataFrame:
     """Add ``total_before``: the sum of ``weight`` over all rows before this one."""
     weighed = rows.withColumn("_weight", weight.cast("long"))
-    earlier = W.partitionBy(file, "chunk").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    keys = [*file, "chunk"]
+    earlier = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     within = weighed.withColumn("_in_chunk", F.coalesce(F.sum("_weight").over(earlier), F.lit(0)))
-    bases = _with_base(weighed.groupBy(file, "chunk").agg(F.sum("_weight").alias("_size")), file)
-    return within.join(bases.select(file, "chunk", "_base"), [file, "chunk"]).select(
+    bases = _with_base(weighed.groupBy(*keys).agg(F.sum("_weight").alias("_size")), file)
+    return within.join(bases.select(*keys, "_base"), keys).select(
         *rows.columns, (F.col("_base") + F.col("_in_chunk")).alias("total_before")
     )
 
@@ -125,12 +111,7 @@ _KEYS_PER_CHUNK = 1 << 17
 
 def ordinal(rows: DataFrame, key: str, into: str) -> DataFrame:
     """Add ``into``: the number of rows with a smaller ``key``, a unique long."""
-    placed = rows.withColumns(
-        {
-            "_part": F.lit(0),
-            "chunk": F.floor(F.col(key) / F.lit(_KEYS_PER_CHUNK)).cast("long"),
-            "pos": F.col(key),
-        }
-    )
-    ranked = total_before(placed, F.lit(1), file="_part")
-    return ranked.withColumnRenamed("total_before", into).drop("_part", "chunk", "pos")
+    chunk = F.floor(F.col(key) / F.lit(_KEYS_PER_CHUNK)).cast("long")
+    placed = rows.withColumns({"chunk": chunk, "pos": F.col(key)})
+    ranked = total_before(placed, F.lit(1), file=())
+    return ranked.withColumnRenamed("total_before", into).drop("chunk", "pos")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
+from uuid import uuid4
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,9 @@ class VerifiedBook:
         return render_transactions(self.book.transactions, self.postings, numbered)
 
     def verification_lines(self) -> tuple[DataFrame, DataFrame]:
+        """(lines, rejects)."""
+        if self.book.verifications is None:
+            raise ValueError("this source makes no assertions")
         return render_verifications(normalise_verifications(self.book.verifications))
 
     def not_in(self, other: VerifiedBook) -> DataFrame:
@@ -62,12 +66,20 @@ class VerifiedBook:
         )
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a staged table, under the one ``spark.checkpoint.dir`` names."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("spark.checkpoint.dir names no shared folder; pass a folder yourself")
+    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+
+
 def verify(book: Book, keep: bool = False, folder: str | None = None) -> VerifiedBook:
     """Complete a book.
 
     Several reports over one book each read its completed postings. ``keep`` persists
-    them, spilling to disk; ``folder`` writes them to a table in a shared folder and
-    reads that, which also cuts the lineage.
+    them, spilling to disk; ``folder`` (see ``shared_folder``) writes them to a table
+    and reads that, which also cuts the lineage.
     """
     completed = complete_transactions(book.postings)
     if folder is not None:

@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions.text import INCLUDE, LINE_END, resolve_path
 
 
+def _plain_path() -> Column:
+    """Path of the row's file. It comes percent-encoded and has to equal the path as read."""
+    path = F.col("_metadata.file_path")
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.when(path.contains("%"), decoded).otherwise(path)
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """``file, chunk, pos, line`` of text files, split wherever Spark splits them."""
     return (
         spark.read.option("lineSep", "\n")
         .text(paths)
         .select(
-            # The path comes percent-encoded; it has to compare equal to a path as read.
-            F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"),
+            _plain_path().alias("file"),
             F.col("_metadata.file_block_start").alias("chunk"),
             F.monotonically_increasing_id().alias("pos"),
             F.regexp_replace("value", "\r$", "").alias("line"),

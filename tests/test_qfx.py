@@ -117,6 +117,11 @@ def test_reconcile_statement_with_book(spark, tmp_path, bag):
         '2024-01-05 * "Lunch"\n  Assets:Bank -12.5 USD\n  Expenses:Food\n'
     )
     statement = books.verify(books.statement_book(spark, path, names))
-    own = books.verify(books.text_book(spark, str(tmp_path / "main.book")), folder=str(tmp_path / "t"))
+    if spark.conf.get("spark.checkpoint.dir", None):
+        folder = books.shared_folder(spark, "completed")
+        assert folder.startswith(spark.conf.get("spark.checkpoint.dir"))
+    else:
+        folder = str(tmp_path / "completed")
+    own = books.verify(books.text_book(spark, str(tmp_path / "main.book")), folder=folder)
     assert bag(statement.not_in(own), "account", "cp_quantity_final") == [("Assets:Bank", "9")]
     assert own.imbalances.isEmpty()
