@@ -184,8 +184,6 @@ def _rejects(placed: DataFrame) -> DataFrame:
 
 def transactions_without_postings(book: Book) -> DataFrame:
     """Headers no posting follows. They stay in the book; this reports them."""
-    return book.transactions.join(
-        book.postings.select(F.col("transaction_no").alias("statement_no")),
-        "statement_no",
-        "left_anti",
-    )
+    # Distinct first: the right side of an anti join cannot be split when it is skewed.
+    used = book.postings.select(F.col("transaction_no").alias("statement_no")).distinct()
+    return book.transactions.join(used, "statement_no", "left_anti")
