@@ -111,14 +111,18 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data)
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of every run of bytes other than space and \\x09-\\x0D, and the
-    number of words before each row (one more than rows). A word never crosses rows."""
+def words(
+    data: np.ndarray, at: np.ndarray, solid: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every run of solid bytes (by default those other than space and
+    \\x09-\\x0D), and the number of words before each row (one more than rows). A word never
+    crosses rows."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    solid = (data != 32) & ((data < 9) | (data > 13))
+    if solid is None:
+        solid = (data != 32) & ((data < 9) | (data > 13))
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     ends = solid.copy()
