@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, secrets, toxicity
+from . import bpe, chat, packing, secrets, toxicity
 from .shared import read
 
 
@@ -26,6 +26,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(read(spark, sf_dir, "documents")))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.fit(docs)).drop("redacted")

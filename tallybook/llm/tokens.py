@@ -8,8 +8,8 @@ import re
 
 import numpy as np
 
-#: Runs that make a backtracking pattern engine slow or fail; such texts take the other library.
-_LONG_RUN = re.compile(r"\s{2000}|\S{20000}")
+#: Texts from this length with runs that exhaust a backtracking pattern engine take the other library.
+_LONG_TEXT, _LONG_RUN = 500_000, re.compile(r"\s{100000}|\S{200000}")
 
 
 def default_path() -> str:
@@ -56,7 +56,7 @@ class Coder:
         """The ids of one text as unsigned 32-bit integers."""
         if not text:
             return np.zeros(0, "<u4")
-        if _LONG_RUN.search(text):
+        if len(text) > _LONG_TEXT and _LONG_RUN.search(text):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
         return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
