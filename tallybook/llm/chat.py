@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import ship
+
 
 @dataclass(frozen=True)
 class Template:
@@ -96,6 +98,7 @@ def format_chats(conversations: DataFrame, template: Template = Template()) -> D
     partition, sorted; a task streams it and holds one turn at a time, whatever its length. An empty
     table gives no rows; other columns are ignored.
     """
+    ship(conversations.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, packing, secrets, substrings, toxicity, vectors
+from . import bpe, chat, jaccard, packing, pii, secrets, substrings, toxicity, vectors
 from .shared import read
 
 
@@ -42,6 +42,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_copies(read(spark, sf_dir, "embeddings"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read(spark, sf_dir, "documents")).drop("key", "all")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(read(spark, sf_dir, "documents")))
 

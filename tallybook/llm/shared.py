@@ -6,10 +6,13 @@ import functools
 import hashlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application; they need not have it installed."""
+    package = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or not package.is_dir():
+        return
+    into = Path(tempfile.mkdtemp(prefix="llm-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(into, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(into))
+    _shipped.add(app)
+
+
 def staged(frame: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts its lineage."""
     spark = frame.sparkSession
@@ -37,6 +57,7 @@ def staged(frame: DataFrame) -> DataFrame:
 
 def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and text as string, whatever else the table holds; null text is empty."""
+    ship(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -75,6 +96,14 @@ def blocks(at: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `size` bytes in a column, so that what is made of them stays small."""
+    values = batch.column(column)
+    lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    for i, j in blocks(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), size):
+        yield batch.slice(i, j - i)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every input bit over all output bits."""
     x = x ^ (x >> np.uint64(33))

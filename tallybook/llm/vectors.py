@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, staged
+from .shared import components, ship, staged
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
     Null, empty and zero vectors and those holding null or non-finite components do not.
     """
+    ship(vectors.sparkSession)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", bad)
@@ -44,7 +45,7 @@ class PermutationIndex:
         self.top = norm.max()
         # With this component all rows have one norm, and nearness by inner product is nearness by angle.
         lifted = np.concatenate([self.x, np.sqrt(np.maximum(self.top - norm, 0))[:, None]], 1)
-        pick = np.random.default_rng(11).permutation(len(ids))[:pivots]
+        pick = _apart(lifted, np.random.default_rng(11).permutation(len(ids))[: 4 * pivots], pivots)
         self.pivots = lifted[pick]
         self.prefix = min(prefix, len(pick))
         near = self._nearest(lifted)
@@ -76,6 +77,21 @@ class PermutationIndex:
             yield query, self.ids[found[best]], score[best]
 
 
+def _apart(x: np.ndarray, pool: np.ndarray, count: int, alike: float = 0.8) -> np.ndarray:
+    """The first `count` of a pool that are not nearly the direction of one before, then any others:
+    pivots out of one group of copies would order everything alike."""
+    unit = x[pool] / np.maximum(np.linalg.norm(x[pool], axis=1), 1e-300)[:, None]
+    near = unit @ unit.T > alike
+    chosen: list[int] = []
+    taken = np.zeros(len(pool), bool)
+    for i in range(len(pool)):
+        if len(chosen) < count and not taken[i]:
+            chosen.append(i)
+            taken |= near[i]
+    rest = [i for i in range(len(pool)) if i not in set(chosen)]
+    return pool[[*chosen, *rest][:count]]
+
+
 def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, pivots: int = 256, prefix: int = 64, share: float = 0.15, least: int = 1500, shard_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id and score of the k largest inner products found for each query.
 
