@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _byte_values, _powers, blocks, doc_texts, mix, text_bytes
+from .shared import BLOCK, _byte_values, _powers, blocks, doc_texts, mix, slices, text_bytes
 from .tokens import coder, default_path
 
-CHUNKS = "chunk long, doc_id long, key long, start int, stop int"
-
-
 def cores(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, start, stop and hash of the core of every chunk of the rows' bytes.
 
@@ -52,110 +48,79 @@ def cores(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
 
 
 def encode(docs: DataFrame, *, path: str | None = None, bits: int = 8) -> DataFrame:
-    """doc_id, text and ids (unsigned 32-bit, little-endian, as binary) of every row.
+    """doc_id, ids (unsigned 32-bit, little-endian, as binary) and decoded (their text) of every row.
 
-    1. Chunks of all texts are listed as hashes and places. 2. Chunks that occur again get one owner,
-    which encodes them once. 3. Each text takes the ids of its shared cores and encodes only the rest:
-    own text and joins between cores. 4. The ids are decoded; where the result is not the text (two
-    chunks with one hash), the whole text is encoded anew. So the ids are those of encoding whole texts.
+    Texts are dealt so that those with the same smallest line hash, that is mostly copies of each other,
+    come to one task; a partition that grows too large is split. A task lists the chunks of its texts,
+    encodes the core of a chunk that occurs more than once when it first needs it and reuses the ids, and
+    encodes the rest of each text: what is its own, and the joins between cores. The ids are then decoded;
+    where the result is not the text (two chunks with one hash), the whole text is encoded anew. So the
+    ids are those of encoding whole texts, however the rows are dealt.
 
-    Null text is empty and has no ids; repeated rows are kept; an empty table gives none.
+    Null text is empty and has no ids; repeated rows are kept; an empty table gives none. Memory: one
+    batch of texts, 8 bytes a chunk, and the ids of repeated chunks.
     """
     path = path or default_path()
-    rows = doc_texts(docs).withColumn("key", F.xxhash64("text"))
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, at = text_bytes(b.column("text"))
-            for i, j in blocks(at):
-                row, start, stop, chunk = cores(data[at[i] : at[j]], at[i : j + 1] - at[i], bits)
-                begin = (at[i : j + 1] - at[i])[row]
-                where = pa.array(row + i)
-                yield pa.record_batch(
-                    {
-                        "chunk": pa.array(chunk.view(np.int64)),
-                        "doc_id": b.column("doc_id").take(where),
-                        "key": b.column("key").take(where),
-                        "start": pa.array((start - begin).astype(np.int32)),
-                        "stop": pa.array((stop - begin).astype(np.int32)),
-                    }
-                )
-
-    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(path)
-        for b in batches:
-            chunk, ids = [], []
-            for text, parts in zip(b.column("text").to_pylist(), b.column("parts").to_pylist(), strict=True):
-                data = text.encode()
-                for p in parts:
-                    chunk.append(p["chunk"])
-                    ids.append(_packed(code.ids(data[p["start"] : p["stop"]].decode())))
-            yield pa.record_batch({"chunk": pa.array(chunk, pa.int64()), "ids": pa.array(ids, pa.binary())})
-
-    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = doc_texts(docs).withColumn("like", F.array_min(F.transform(F.split("text", "\n"), lambda line: F.xxhash64(line))))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
-        for b in batches:
-            out = []
-            parts = b.column("parts")
-            for i, text in enumerate(b.column("text").to_pylist()):
-                shared = parts[i].as_py()
-                ids = repaired(code, text, shared) if shared else code.ids(text)
-                out.append(ids.tobytes())
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "text": b.column("text"), "ids": pa.array(out, pa.binary())})
-
-    row = ["doc_id", "key"]
-    chunks = rows.mapInArrow(listed, CHUNKS)
-    every = Window.partitionBy("chunk")
-    shared = chunks.withColumn("n", F.count("*").over(every)).withColumn("turn", F.row_number().over(every.orderBy("doc_id", "key", "start"))).where("n > 1")
-    owners = shared.where("turn = 1").groupBy(row).agg(F.collect_list(F.struct("chunk", "start", "stop")).alias("parts"))
-    same = lambda other: [rows["doc_id"].eqNullSafe(other["doc_id"]), rows["key"] == other["key"]]
-    encoded = rows.join(owners, same(owners)).select("text", "parts").mapInArrow(owned, "chunk long, ids binary").groupBy("chunk").agg(F.first("ids").alias("ids"))
-    lists = shared.join(encoded, "chunk").groupBy(row).agg(F.collect_list(F.struct("start", "stop", "ids")).alias("parts"))
-    return rows.join(lists, same(lists), "left").select(rows["doc_id"], "text", "parts").mapInArrow(assembled, "doc_id long, text string, ids binary")
-
-
-def _packed(ids: np.ndarray) -> bytes:
-    """Two bytes an id where all fit, else four; the first byte tells."""
-    return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 65536 else b"\4" + ids.tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1)
-
-
-def repaired(code, text: str, shared: list[dict]) -> np.ndarray:
-    """Ids from shared cores with everything between them encoded, checked by decoding."""
-    data = text.encode()
+        before = np.zeros(0, np.uint64)
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            data, at = text_bytes(batch.column("text"))
+            parts = [cores(data[at[i] : at[j]], at[i : j + 1] - at[i], bits) for i, j in blocks(at)]
+            first = [i for i, _ in blocks(at)]
+            row = np.concatenate([np.zeros(0, np.int64), *(p[0] + i for p, i in zip(parts, first, strict=True))])
+            start = np.concatenate([np.zeros(0, np.int64), *(p[1] + at[i] for p, i in zip(parts, first, strict=True))])
+            stop = np.concatenate([np.zeros(0, np.int64), *(p[2] + at[i] for p, i in zip(parts, first, strict=True))])
+            chunk = np.concatenate([np.zeros(0, np.uint64), *(p[3] for p in parts)])
+            known, which, count = np.unique(chunk, return_inverse=True, return_counts=True)
+            again = ((count > 1) | np.isin(known, before))[which]
+            before = np.union1d(before, known)
+            row, start, stop, chunk = row[again], start[again], stop[again], chunk[again]
+            edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            begin = 0
+            for b in slices(batch, "text", BLOCK):
+                ids, texts = [], []
+                for i in range(begin, begin + b.num_rows):
+                    own = slice(edge[i], edge[i + 1])
+                    spans = zip((start[own] - at[i]).tolist(), (stop[own] - at[i]).tolist(), chunk[own].tolist(), strict=True)
+                    found, text = repaired(code, data[at[i] : at[i + 1]].tobytes(), spans, made)
+                    ids.append(found.tobytes())
+                    texts.append(text)
+                begin += b.num_rows
+                yield pa.record_batch({"doc_id": b.column("doc_id"), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(texts, pa.string())})
+
+    return rows.hint("rebalance", "like").select("doc_id", "text").mapInArrow(encoded, "doc_id long, ids binary, decoded string")
+
+
+def repaired(code, data: bytes, spans: Iterable[tuple[int, int, int]], made: dict[int, np.ndarray]) -> tuple[np.ndarray, str]:
+    """Ids of a text and the text they decode to. spans: start, stop and hash of its repeated cores in
+    order; made: ids by hash, completed here. Everything between cores is encoded in place."""
     out, at = [], 0
-    for part in sorted(shared, key=lambda p: p["start"]):
-        start, stop = part["start"], part["stop"]
-        if start < at:  # a repeated row listed its places twice
-            continue
+    for start, stop, chunk in spans:
         if start > at:
             out.append(code.ids(data[at:start].decode("utf-8", "replace")))
-        out.append(_unpacked(part["ids"]))
+        if chunk not in made:
+            made[chunk] = code.ids(data[start:stop].decode("utf-8", "replace"))
+        out.append(made[chunk])
         at = stop
     if at < len(data):
         out.append(code.ids(data[at:].decode("utf-8", "replace")))
     ids = np.concatenate(out).astype("<u4") if out else np.zeros(0, "<u4")
-    return ids if code.fast.decode_bytes(ids.tolist()) == data else code.ids(text)
-
-
-def digests(encoded: DataFrame, *, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256, the last of the text that the ids decode to."""
-    path = path or default_path()
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(path)
-        for b in batches:
-            ids = b.column("ids").to_pylist()
-            yield pa.record_batch(
-                {
-                    "doc_id": b.column("doc_id"),
-                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(code.text(np.frombuffer(x, "<u4")).encode()).hexdigest() for x in ids], pa.string()),
-                }
-            )
-
-    return encoded.select("doc_id", "ids").mapInArrow(hashed, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    decoded = code.fast.decode_bytes(ids.tolist())
+    if decoded != data:
+        ids = code.ids(data.decode())
+        decoded = code.fast.decode_bytes(ids.tolist())
+    return ids, decoded.decode("utf-8", "replace")
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+    return encoded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

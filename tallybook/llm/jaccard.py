@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .shared import _ODD, _powers, blocks, components, doc_texts, gram_rows, grams, lowered, mix, staged, text_bytes, words
 
 LIST, NEAR, SUBSET = 0, 1, 2  # kinds of postings
+#: Shingles a task counts at a time to find common ones; beyond it those met once are forgotten.
+_COUNTED = 3_000_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +91,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def groups(docs: DataFrame, *, size: int = 5, percent: int = 75, max_common: int = 200_000, common_in_batch: int = 4) -> DataFrame:
+def groups(docs: DataFrame, *, size: int = 5, percent: int = 75, max_common: int = 500_000, common_in_task: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     Two documents link when 100 * intersection >= percent * union of their sets of shingles. Equal sets
@@ -101,9 +103,10 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 75, max_common: int
     * Sets up to a boundary chosen by cost enumerate all pairs of their prefix; two small sets that link
       share a pair. Larger ones post each prefix shingle; sets near the boundary do both, so that small
       and large sets meet.
-    * First each list links its members with its smallest (verified on the whole texts), which joins
-      groups of copies with as many pairs as postings at most. Then pairs in a list whose members are
-      not connected yet, and that the size and position filters cannot exclude, are verified too.
+    * First each set is verified, on the whole texts, against the one it shares most lists with as their
+      smallest member; that joins groups of copies with one pair a set. Then pairs in a list whose
+      members are not connected yet, and that the size and position filters cannot exclude, are
+      verified too.
 
     Null text and text without words link with nothing. Repeated rows are classes of their own text; a
     null doc_id is kept and is nobody's component. An empty table gives none; other columns are ignored.
@@ -117,9 +120,11 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 75, max_common: int
             yield i, j, row, token, *set_keys(row, token, j - i)
 
     def surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        counted, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
-            keys, sizes, tokens, seen = [], [], [], set()
-            for i, j, row, token, n, key in sets_of(b):
+            keys, sizes, tokens = [], [], []
+            for _, _, row, token, n, key in sets_of(b):
                 keys.append(key)
                 sizes.append(n)
                 fresh = np.array([k not in seen and not seen.add(k) for k in key.tolist()], bool)
@@ -128,10 +133,14 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 75, max_common: int
                 continue
             key, n = np.concatenate(keys), np.concatenate(sizes)
             yield pa.record_batch({"of": pa.array(np.zeros(len(key), np.int8)), "id": b.column("doc_id"), "key": pa.array(key), "n": pa.array(n.astype(np.int64))})
-            token, count = np.unique(np.concatenate(tokens), return_counts=True)
-            token, count = token[count >= common_in_batch], count[count >= common_in_batch]
-            one = np.ones(len(token), np.int8)
-            yield pa.record_batch({"of": pa.array(one), "id": pa.array(np.zeros(len(token), np.int64)), "key": pa.array(token.view(np.int64)), "n": pa.array(count)})
+            counted, which = np.unique(np.concatenate([counted, *tokens]), return_inverse=True)
+            have = np.bincount(which[: len(counts)], counts, len(counted))
+            counts = (have + np.bincount(which[len(counts) :], minlength=len(counted))).astype(np.int64)
+            if len(counted) > _COUNTED:
+                counted, counts = counted[counts > 1], counts[counts > 1]
+        often = counts >= common_in_task
+        one, zero = np.ones(often.sum(), np.int8), np.zeros(often.sum(), np.int64)
+        yield pa.record_batch({"of": pa.array(one), "id": pa.array(zero), "key": pa.array(counted[often].view(np.int64)), "n": pa.array(counts[often])})
 
     survey = staged(rows.mapInArrow(surveyed, "of byte, id long, key long, n long"))
     members = survey.where("of = 0").select(F.col("id").alias("doc_id"), "key", "n")
@@ -163,36 +172,40 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 75, max_common: int
                 pairs = (place < prefix_length(size_of, percent, 2)) & ~big
                 yield _subsets(row[pairs], token[pairs], key, n)
 
-    postings = rows.mapInArrow(posted, "token long, key long, n int, place int, kind int")
+    postings = rows.mapInArrow(posted, "token long, key long, packed long")
     # Frequent shingles (negative tokens) are combined before they are shuffled and joined back, which
     # adaptive execution can split; the many others are grouped where they meet.
-    low, high = F.min(F.struct("key", "n")), F.max("key")
+    low, high, many = F.min("key"), F.max("key"), F.count("*")
     of_token = Window.partitionBy("token")
-    rare = postings.where("token >= 0").select("*", low.over(of_token).alias("low"), high.over(of_token).alias("high"))
+    rare = postings.where("token >= 0").select("*", low.over(of_token).alias("low"), high.over(of_token).alias("high"), many.over(of_token).alias("many"))
     often = postings.where("token < 0")
-    often = often.join(often.groupBy("token").agg(low.alias("low"), high.alias("high")), "token").select(rare.columns)
-    shared = staged(rare.where("low.key <> high").unionByName(often.where("low.key <> high")))
+    often = often.join(often.groupBy("token").agg(low.alias("low"), high.alias("high"), many.alias("many")), "token").select(rare.columns)
+    shared = staged(rare.where("low <> high").unionByName(often.where("low <> high")).drop("low", "high"))
+    size_of, place, kind = F.shiftright("packed", 32), F.shiftright("packed", 2).bitwiseAND((1 << 30) - 1), F.col("packed").bitwiseAND(3)
 
     classes = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    within = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    stars = shared.where((F.col("low.key") != F.col("key")) & within(F.col("low.n"), F.col("n"))).select(F.col("low.key").alias("a"), F.col("key").alias("b"))
-    found = staged(_verified(rows, classes, stars.distinct(), size, percent))
+    # The head of a list is the member that meets most others; where copies were edited, that is what
+    # they were made of. Each class goes with the head it shares most lists with.
+    ranked = shared.join(shared.groupBy("key").agg(F.sum("many").alias("degree")), "key").select("token", "key", "packed", "degree")
+    heads = ranked.groupBy("token").agg(F.max(F.struct("degree", "key"))["key"].alias("head"))
+    stars = ranked.join(heads, "token").where("head <> key").groupBy("head", "key").agg(F.count("*").alias("met"), F.max(size_of).alias("n"))
+    likely = stars.where(F.col("met") * 1200 >= F.col("n") * (100 - percent)).groupBy("key").agg(F.max_by("head", F.struct("met", "head")).alias("head"))
+    found = staged(_verified(rows, classes, likely.select(F.col("head").alias("a"), F.col("key").alias("b")), size, percent))
 
     label = components(found)
-    spread = shared.select("token", "key", "n", "place", "kind").distinct().join(label.withColumnRenamed("node", "key"), "key", "left")
-    spread = spread.withColumn("component", F.coalesce("component", "key"))
+    spread = shared.select("token", "key", size_of.alias("n"), place.alias("place"), kind.alias("kind")).join(label.withColumnRenamed("node", "key"), "key", "left")
+    spread = staged(spread.withColumn("component", F.coalesce("component", "key")))
     open_ = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    spread = staged(spread.join(open_, "token", "left_semi"))
+    spread = spread.join(open_, "token", "left_semi")
     a, b = spread.alias("a"), spread.alias("b")
+    within = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    both = F.col("a.n") + F.col("b.n")
     # At their first common shingle, what remains behind it must suffice for the overlap.
     rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    can = (F.col("a.kind") == SUBSET) | (rest * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n")))
-    across = a.join(
-        b,
-        (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & within(F.col("a.n"), F.col("b.n")) & can
-        & ((F.col("a.kind") + F.col("b.kind")) != 2 * NEAR),
-    ).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"))
-    found = found.unionByName(_verified(rows, classes, across.distinct().join(found, ["a", "b"], "left_anti"), size, percent))
+    can = (F.col("a.kind") == SUBSET) | (rest * (100 + percent) >= percent * both)
+    pair = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & within & can
+    across = a.join(b, pair & ((F.col("a.kind") + F.col("b.kind")) != 2 * NEAR)).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+    found = found.unionByName(_verified(rows, classes, across.join(found, ["a", "b"], "left_anti"), size, percent))
 
     ids = lambda c: classes.select(F.col("key").alias(c), F.col("doc_id").alias(f"doc_{c}"))
     links = found.join(ids("a"), "a").join(ids("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
@@ -203,8 +216,8 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 75, max_common: int
 
 
 def _postings(token: np.ndarray, key: np.ndarray, n: np.ndarray, place: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-    int32 = lambda x: pa.array(x.astype(np.int32))
-    return pa.record_batch({"token": pa.array(token.view(np.int64)), "key": pa.array(key), "n": int32(n), "place": int32(place), "kind": int32(kind)})
+    packed = (n.astype(np.int64) << 32) | (place.astype(np.int64) << 2) | kind
+    return pa.record_batch({"token": pa.array(token.view(np.int64)), "key": pa.array(key), "packed": pa.array(packed)})
 
 
 def _subsets(row: np.ndarray, token: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -258,3 +271,14 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
             yield b.select(["a", "b"]).filter(pa.array(good))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compared, "a long, b long")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each group, with all its columns: the one with the smallest id.
+
+    Of rows that repeat id and text one stays. Rows without id stay if one of them heads a group.
+    """
+    heads = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
+    stay = docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(heads["head"]), "left_semi")
+    once = stay.withColumn("_key", F.xxhash64("doc_id", "text"))
+    return once.dropDuplicates(["doc_id", "_key"]).drop("_key")

@@ -31,10 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _shipped: set[str] = set()
+#: Rows and bytes of a batch between Spark and Python; with Spark's 10,000 rows, and no limit of bytes,
+#: one batch of long texts would not fit a worker.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 * BLOCK}
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application; they need not have it installed."""
+    """Sends this package to the executors once per application; they need not have it installed.
+
+    Also sets the session's batch limits, where none are set.
+    """
+    for key, most in _BATCH.items():
+        if spark.conf.get(key, None) in (None, "10000"):
+            spark.conf.set(key, most)
     package = Path(__file__).resolve().parents[1]
     app = spark.sparkContext.applicationId
     if app in _shipped or not package.is_dir():
@@ -65,6 +74,19 @@ def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def with_rest(docs: DataFrame) -> DataFrame:
+    """doc_id and text as doc_texts gives them, and all other columns in one struct, out of the way."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return doc_texts(docs, F.struct(F.lit(True).alias("_"), *others).alias("rest"))
+
+
+def like(frame: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of with_rest in the columns and types of docs; n_chars, if there, follows the text."""
+    types = {f.name: f.dataType for f in docs.schema}
+    from_ = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text")}
+    return frame.select(*((from_.get(c, F.col("rest").getField(c))).cast(t).alias(c) for c, t in types.items()))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .shared import _ODD, _powers, blocks, doc_texts, grams, mix, staged, text_bytes, words
+from .shared import _ODD, _powers, blocks, grams, like, mix, slices, staged, text_bytes, with_rest, words
 
 ANCHORS = "anchor long, seg long, doc_id long, key long, pos int, left int"
 
@@ -163,20 +165,21 @@ def _anchors(data: np.ndarray, at: np.ndarray, size: int, gram: int):
 
 
 def removals(docs: DataFrame, *, size: int = 35, gram: int = 12, shard_words: int = 400_000) -> DataFrame:
-    """doc_id, text, n_words, removed (a bit per word as bytes) of every document.
+    """doc_id, text, rest (the other columns as one struct), n_words, removed (a byte per word) of every
+    document.
 
     A word is removed if a window of `size` words of one document covers it whose word sequence starts
     at another place too, in any document. 1. Anchors: the smallest gram hashes of every window, with a
     hash of the context that holds all windows around them. 2. Anchors met at two or more places stay;
     equal contexts become one segment with a weight. 3. Segments are dealt by anchor into shards of at most
-    `shard_words` words (or one anchor's segments), each gets an FM-index, and every segment is searched
-    backwards in its shard. Symbols hold anchor and place beside the word, so a match is another place.
+    `shard_words` words (or one anchor's segments), each gets an FM-index, and every segment of weight one is
+    searched backwards in its shard. Symbols hold anchor and place beside the word, so a match is another place.
     4. Every occurrence takes its segment's windows, and its document loses the words they cover.
 
     Null text is empty: no words. Short texts keep all. Repeated rows count as places of their own. An
     empty table gives none; other columns are ignored.
     """
-    rows = doc_texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = with_rest(docs).withColumn("key", F.xxhash64("doc_id", "text"))
     reach = size - gram
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +238,10 @@ def removals(docs: DataFrame, *, size: int = 35, gram: int = 12, shard_words: in
             symbols[np.arange(len(word)) + row] = code[inverse]
             weights = np.zeros(len(symbols), np.int64)
             weights[np.arange(len(word)) + row] = weight[row]
-            masks = repeated_windows(symbols, begin, end, begin + left, FMIndex(symbols, weights), size)
-            return pa.record_batch({"anchor": part["anchor"].chunk(0), "seg": part["seg"].chunk(0), "mask": pa.array(masks)})
+            alone = np.flatnonzero(weight == 1)  # the others' windows occur again as they are
+            masks = repeated_windows(symbols, begin[alone], end[alone], (begin + left)[alone], FMIndex(symbols, weights), size)
+            keep = pa.array(alone)
+            return pa.record_batch({"anchor": part["anchor"].chunk(0).take(keep), "seg": part["seg"].chunk(0).take(keep), "mask": pa.array(masks)})
 
         for b in batches:
             if not b.num_rows:
@@ -260,48 +265,48 @@ def removals(docs: DataFrame, *, size: int = 35, gram: int = 12, shard_words: in
             yield flush(pa.Table.from_batches(held))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_words, removed = [], []
-            for text, hits in zip(b.column("text").to_pylist(), b.column("hits"), strict=True):
-                data = np.frombuffer(text.encode(), np.uint8)
-                n = len(words(data, np.array([0, len(data)]))[0])
-                change = np.zeros(n + size + 1, np.int64)
-                if hits.is_valid and len(hits):
-                    flat = hits.values.flatten()
-                    pos, mask = flat[0].to_numpy(), flat[1].to_numpy()
-                    for o in range(reach + 1):
-                        start = pos[(mask >> o) & 1 == 1] - o
+        offset = np.arange(reach + 1)
+        for batch in batches:
+            for b in slices(batch):
+                n_words, removed = [], []
+                for text, hits in zip(b.column("text").to_pylist(), b.column("hits"), strict=True):
+                    n = len(text.encode().split())
+                    gone = bytes(n)
+                    if hits.is_valid and len(hits):
+                        pos, mask = (c.to_numpy() for c in hits.values.flatten())
+                        start = (pos[:, None] - offset)[(mask[:, None] >> offset) & 1 == 1]
                         start = start[(start >= 0) & (start + size <= n)]
-                        np.add.at(change, start, 1)
-                        np.add.at(change, start + size, -1)
-                n_words.append(n)
-                removed.append((np.cumsum(change)[:n] > 0).astype(np.uint8).tobytes())
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "text": b.column("text"), "n_words": pa.array(n_words, pa.int64()), "removed": pa.array(removed, pa.binary())})
+                        change = np.bincount(start, minlength=n + 1) - np.bincount(start + size, minlength=n + 1)
+                        gone = (np.cumsum(change)[:n] > 0).astype(np.uint8).tobytes()
+                    n_words.append(n)
+                    removed.append(gone)
+                yield pa.record_batch({"doc_id": b.column("doc_id"), "text": b.column("text"), "rest": b.column("rest"), "n_words": pa.array(n_words, pa.int64()), "removed": pa.array(removed, pa.binary())})
 
     row = ["doc_id", "key"]
     of_anchor, of_seg = Window.partitionBy("anchor"), Window.partitionBy("anchor", "seg")
-    places = rows.mapInArrow(listed, ANCHORS).withColumn("met", F.count("*").over(of_anchor)).where("met > 1")
+    bare = rows.select("doc_id", "text", "key")
+    places = bare.mapInArrow(listed, ANCHORS).withColumn("met", F.count("*").over(of_anchor)).where("met > 1")
+    places = places.withColumn("alike", F.min("seg").over(of_anchor) == F.max("seg").over(of_anchor))
     places = places.withColumn("n", F.count("*").over(of_seg)).withColumn("turn", F.row_number().over(of_seg.orderBy("doc_id", "key", "pos")))
     places = staged(places.drop("met"))
+    every_window = F.lit((1 << (reach + 1)) - 1)
     same = lambda other: [rows["doc_id"].eqNullSafe(other["doc_id"]), rows["key"] == other["key"]]
-    chosen = places.where("turn = 1").groupBy(row).agg(F.collect_list(F.struct("anchor", "seg", "n", "pos", "left")).alias("parts"))
+    chosen = places.where("turn = 1 and not alike").groupBy(row).agg(F.collect_list(F.struct("anchor", "seg", "n", "pos", "left")).alias("parts"))
     segments = rows.join(chosen, same(chosen)).select("text", "parts").mapInArrow(cut_out, "anchor long, seg long, n long, left int, words binary")
     segments = segments.repartition("anchor").sortWithinPartitions("anchor", "seg")
     masks = segments.mapInArrow(searched, "anchor long, seg long, mask long").where("mask <> 0").groupBy("anchor", "seg").agg(F.max("mask").alias("mask"))
-    hits = places.join(masks, ["anchor", "seg"]).groupBy(row).agg(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "mask")).alias("hits"))
-    joined = rows.join(hits, same(hits), "left").select(rows["doc_id"], "text", "hits")
-    return joined.mapInArrow(marked, "doc_id long, text string, n_words long, removed binary")
+    copied = places.where("alike or n > 1").select(*row, "pos", every_window.cast("long").alias("mask"))
+    found = places.where("not alike and n = 1").join(masks, ["anchor", "seg"]).select(*row, "pos", "mask").unionByName(copied)
+    hits = found.groupBy(row).agg(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "mask")).alias("hits"))
+    joined = rows.join(hits, same(hits), "left").select(rows["doc_id"], "text", "rest", "hits")
+    schema = StructType([*joined.schema.fields[:3], StructField("n_words", LongType()), StructField("removed", BinaryType())])
+    return joined.mapInArrow(marked, schema)
 
 
 def kept(text: str, removed: bytes) -> str:
     """The words that stay, joined by single spaces."""
-    raw = text.encode()
-    data = np.frombuffer(raw, np.uint8)
-    start, end, _, _ = words(data, np.array([0, len(data)]))
-    stay = np.frombuffer(removed, np.uint8) == 0
-    if stay.all() and len(raw) == len(start) - 1 + int((end - start).sum()) and b"\n" not in raw and b"\t" not in raw:
-        return text
-    return b" ".join(raw[a:b] for a, b in zip(start[stay].tolist(), end[stay].tolist(), strict=True)).decode()
+    all_words = text.encode().split()  # bytes split at space and \x09-\x0D alone
+    return b" ".join(compress(all_words, (x == 0 for x in removed)) if any(removed) else all_words).decode()
 
 
 def digests(removed: DataFrame) -> DataFrame:
@@ -319,4 +324,18 @@ def digests(removed: DataFrame) -> DataFrame:
                 }
             )
 
-    return removed.mapInArrow(hashed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return removed.drop("rest").mapInArrow(hashed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def shortened(docs: DataFrame) -> DataFrame:
+    """All documents with all their columns; texts that lose words become the kept ones, joined by spaces."""
+    rows = removals(docs)
+
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch):
+                pairs = zip(b.column("text").to_pylist(), b.column("removed").to_pylist(), strict=True)
+                texts = [kept(t, x) if 1 in x else t for t, x in pairs]
+                yield pa.record_batch({"doc_id": b.column("doc_id"), "text": pa.array(texts, pa.string()), "rest": b.column("rest")})
+
+    return like(rows.mapInArrow(applied, StructType(rows.schema.fields[:3])), docs)

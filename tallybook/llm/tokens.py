@@ -32,11 +32,8 @@ class Coder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
+        self.path = path
         spec = json.loads(open(path, encoding="utf-8").read())
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         char = _byte_of_char()
@@ -52,6 +49,15 @@ class Coder:
             self.lengths[i] = len(token)
             self.ends_sentence[i] = token.rstrip(b" \"')")[-1:] in (b".", b"!", b"?", b"\n")
 
+    @functools.cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def ids(self, text: str) -> np.ndarray:
         """The ids of one text as unsigned 32-bit integers."""
         if not text:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, doc_texts, mix, text_bytes, words
+from .shared import blocks, doc_texts, like, mix, text_bytes, with_rest, words
 
 # Words of the second person.
 SECOND_PERSON = (
@@ -299,3 +299,16 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
 
     rows = doc_texts(docs, held_out(F.col("doc_id").cast("long")).alias("held_out"))
     return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
+    """The documents, with all their columns, whose score is below the threshold."""
+    rows = with_rest(docs)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = text_bytes(b.column("text"))
+            s = np.concatenate([np.zeros(0), *(model.scores(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in blocks(at))])
+            yield b.filter(pa.array(s < threshold))
+
+    return like(rows.mapInArrow(passed, rows.schema), docs)
