@@ -35,16 +35,29 @@ def force_negative(amount: Column) -> Column:
 
 
 def price_times_quantity(price: Column, quantity: Column, digits: int = 3) -> Column:
-    """Product of two raw decimals, rounded once.
+    """Product of two raw decimals, rounded once, half away from zero; null from 18 whole digits on.
 
-    Raw × raw would keep six decimals of the product. Both sides usually fit
-    (18,8), where the product is exact; the wide product serves the rest.
+    No decimal type holds the product of two raw ones, which has twenty decimals. With both cut
+    at the point, three of the four products have ten decimals at most. The fourth, of the parts below
+    one, may lose what lies behind ten decimals, as that is too little to reach the next place to round.
     """
-    narrow_price = price.try_cast("decimal(18,8)")
-    narrow_quantity = quantity.try_cast("decimal(18,8)")
-    fits = (price == narrow_price) & (quantity == narrow_quantity)
-    exact = F.round(narrow_price * narrow_quantity, digits).cast(RAW)
-    return F.when(fits, exact).otherwise(F.round(price * quantity, digits).cast(RAW))
+    one = F.lit(1).cast("decimal(1,0)")
+    split = []
+    for amount in (F.abs(price), F.abs(quantity)):
+        whole = F.floor(amount).cast("decimal(38,0)")
+        n_digits = F.when(whole == 0, 0).otherwise(F.length(whole.cast("string")))
+        split.append((whole.try_cast("decimal(18,0)"), (amount % one).cast("decimal(10,10)"), n_digits))
+    (whole_a, part_a, n_a), (whole_b, part_b, n_b) = split
+    below = F.floor(part_a * part_b * F.lit(10**10).cast("decimal(11,0)")).cast("decimal(10,0)")
+    products = [
+        (whole_a * whole_b).try_cast("decimal(28,10)"),
+        (whole_a * part_b).try_cast("decimal(28,10)"),
+        (whole_b * part_a).try_cast("decimal(28,10)"),
+        (below * F.lit("0.0000000001").cast("decimal(10,10)")).try_cast("decimal(28,10)"),
+    ]
+    rounded = F.round(sum(products[1:], products[0]), digits).try_cast(RAW)
+    product = F.when(n_a + n_b <= 18, rounded)
+    return F.when((price < 0) != (quantity < 0), -product).otherwise(product)
 
 
 def to_final(amount: Column) -> Column:

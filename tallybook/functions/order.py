@@ -4,34 +4,38 @@ A scan yields rows as ``(file, chunk, pos)``: ``chunk`` is the split's offset in
 its file and ``pos`` grows within the split, so the three together are the
 document order although no task sees a whole file. The functions here answer
 "what stood last before this line" and "which number has this line" with one
-window per chunk (bounded by the split size) plus windows over a summary with a
-single row per chunk: 100 TB in splits of 128 MB make 800,000 such rows. A file of
-any size is therefore spread over as many tasks as it has splits.
+window per chunk (bounded by the split size) plus windows per file over a summary
+with a single row per chunk. A file of any size is therefore spread over as many
+tasks as it has splits, and any number of small files over all tasks.
 
-``file`` may be any orderable column, such as a path or a file number.
+``file`` is a number. A row's own number is made of it and of the row's place in the
+file, so it does not depend on how the file was split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Room for the lines of one file in a number; 2**27 files fit beside it.
+LINES_PER_FILE = 1 << 36
+#: Files whose sums are added up in one window of a running total.
+_FILES_PER_RANGE = 1 << 12
 
-def _with_base(summary: DataFrame, file: Sequence[str]) -> DataFrame:
-    """Add ``_base`` to one row per chunk: the sum of ``_size`` over all chunks before it."""
-    earlier = W.orderBy(*file, "chunk").rowsBetween(W.unboundedPreceding, -1)
-    return summary.withColumn("_base", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+
+def _before(file: str) -> W:
+    return W.partitionBy(file).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
 
 
 def carry_forward(rows: DataFrame, marks: Mapping[str, Column], file: str = "file") -> DataFrame:
     """Number the rows, and add the latest non-null value of each mark at or before the row.
 
-    ``number`` increases in document order over all files. It is the line number
-    where ``pos`` has no gaps, which holds for rows straight from a scan. A mark
-    ``m`` adds the columns ``m`` and ``m_no``, the number of the row it comes from.
+    ``number`` increases in document order over all files; ``number`` modulo
+    ``LINES_PER_FILE`` is the row's place in its file, from one. A mark ``m`` adds the
+    columns ``m`` and ``m_no``, the number of the row it comes from.
     """
     marked = rows.select(
         "*",
@@ -40,27 +44,36 @@ def carry_forward(rows: DataFrame, marks: Mapping[str, Column], file: str = "fil
             for name, mark in marks.items()
         ],
     )
-    so_far = W.partitionBy(file, "chunk").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    within = marked.select(
+    in_chunk = W.partitionBy(file, "chunk").orderBy("pos")
+    so_far = in_chunk.rowsBetween(W.unboundedPreceding, 0)
+    placed = marked.withColumn("_place", F.row_number().over(in_chunk).cast("long"))
+    within = placed.select(
         *rows.columns,
+        "_place",
         *[
-            F.last(f"_mark_{name}", ignorenulls=True).over(so_far).alias(f"_within_{name}")
+            F.last(
+                F.when(
+                    F.col(f"_mark_{name}").isNotNull(),
+                    F.struct(F.col("_place").alias("no"), F.col(f"_mark_{name}.value").alias("value")),
+                ),
+                ignorenulls=True,
+            )
+            .over(so_far)
+            .alias(f"_within_{name}")
             for name in marks
         ],
     )
-    summary = _with_base(
-        marked.groupBy(file, "chunk").agg(
-            F.min("pos").alias("_first"),
-            (F.max("pos") - F.min("pos") + 1).alias("_size"),
-            *[
-                F.max_by(f"_mark_{name}", f"_mark_{name}.pos").alias(f"_last_{name}")
-                for name in marks
-            ],
-        ),
-        [file],
-    ).withColumn("_shift", F.col("_base") - F.col("_first") + 1)
-    earlier = W.partitionBy(file).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    carried = summary.select(
+    # A chunk's last row has what the chunk hands on; it is found in the rows as they are dealt.
+    summary = within.groupBy(file, "chunk").agg(
+        F.max("_place").alias("_size"),
+        *[F.max_by(f"_within_{name}", "_place").alias(f"_last_{name}") for name in marks],
+    )
+    earlier = _before(file)
+    start = F.col(file) * F.lit(LINES_PER_FILE)
+    numbered = summary.select(
+        "*", (start + F.coalesce(F.sum("_size").over(earlier), F.lit(0))).alias("_shift")
+    )
+    carried = numbered.select(
         file,
         "chunk",
         "_shift",
@@ -69,7 +82,7 @@ def carry_forward(rows: DataFrame, marks: Mapping[str, Column], file: str = "fil
                 F.when(
                     F.col(f"_last_{name}").isNotNull(),
                     F.struct(
-                        (F.col(f"_last_{name}.pos") + F.col("_shift")).alias("no"),
+                        (F.col(f"_last_{name}.no") + F.col("_shift")).alias("no"),
                         F.col(f"_last_{name}.value").alias("value"),
                     ),
                 ),
@@ -85,33 +98,55 @@ def carry_forward(rows: DataFrame, marks: Mapping[str, Column], file: str = "fil
         found += [
             F.coalesce(f"_within_{name}.value", f"_before_{name}.value").alias(name),
             F.coalesce(
-                F.col(f"_within_{name}.pos") + F.col("_shift"), F.col(f"_before_{name}.no")
+                F.col(f"_within_{name}.no") + F.col("_shift"), F.col(f"_before_{name}.no")
             ).alias(f"{name}_no"),
         ]
     return within.join(carried, [file, "chunk"]).select(
-        *rows.columns, (F.col("pos") + F.col("_shift")).alias("number"), *found
+        *rows.columns, (F.col("_place") + F.col("_shift")).alias("number"), *found
     )
 
 
-def total_before(rows: DataFrame, weight: Column, file: Sequence[str] = ("file",)) -> DataFrame:
-    """Add ``total_before``: the sum of ``weight`` over all rows before this one."""
+def numbered(rows: DataFrame, file: str = "file") -> DataFrame:
+    """Add ``number`` as ``carry_forward`` gives it."""
+    return carry_forward(rows, {}, file)
+
+
+def total_before(rows: DataFrame, weight: Column, file: str = "file") -> DataFrame:
+    """Add ``total_before``: the sum of ``weight`` over all rows before this one.
+
+    Sums run within a chunk, over the chunks of a range of files, and over the ranges; ranges
+    have fixed boundaries, so the last window has a row for every 4096 files.
+    """
+    keys = [file, "chunk"]
     weighed = rows.withColumn("_weight", weight.cast("long"))
-    keys = [*file, "chunk"]
+    zero = F.lit(0)
     earlier = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    within = weighed.withColumn("_in_chunk", F.coalesce(F.sum("_weight").over(earlier), F.lit(0)))
-    bases = _with_base(weighed.groupBy(*keys).agg(F.sum("_weight").alias("_size")), file)
-    return within.join(bases.select(*keys, "_base"), keys).select(
+    within = weighed.withColumn("_in_chunk", F.coalesce(F.sum("_weight").over(earlier), zero))
+    ranged = F.floor(F.col(file) / _FILES_PER_RANGE).cast("long").alias("_range")
+    chunks = weighed.groupBy(*keys).agg(F.sum("_weight").alias("_size")).select("*", ranged)
+    in_range = W.partitionBy("_range").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_in_range", F.coalesce(F.sum("_size").over(in_range), zero))
+    over_all = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = chunks.groupBy("_range").agg(F.sum("_size").alias("_total"))
+    ranges = ranges.select("_range", F.coalesce(F.sum("_total").over(over_all), zero).alias("_before"))
+    bases = chunks.join(ranges, "_range").select(*keys, (F.col("_in_range") + F.col("_before")).alias("_base"))
+    return within.join(bases, keys).select(
         *rows.columns, (F.col("_base") + F.col("_in_chunk")).alias("total_before")
     )
 
 
 #: Span of key values one task ranks.
-_KEYS_PER_CHUNK = 1 << 17
+_KEYS_PER_CHUNK = 1 << 20
 
 
 def ordinal(rows: DataFrame, key: str, into: str) -> DataFrame:
-    """Add ``into``: the number of rows with a smaller ``key``, a unique long."""
-    chunk = F.floor(F.col(key) / F.lit(_KEYS_PER_CHUNK)).cast("long")
-    placed = rows.withColumns({"chunk": chunk, "pos": F.col(key)})
-    ranked = total_before(placed, F.lit(1), file=())
-    return ranked.withColumnRenamed("total_before", into).drop("chunk", "pos")
+    """Add ``into``: the number of rows with a smaller ``key``, a unique number of a row in a file."""
+    placed = rows.withColumns(
+        {
+            "_file": F.floor(F.col(key) / F.lit(LINES_PER_FILE)).cast("long"),
+            "chunk": F.floor(F.col(key) / F.lit(_KEYS_PER_CHUNK)).cast("long"),
+            "pos": F.col(key),
+        }
+    )
+    ranked = total_before(placed, F.lit(1), file="_file")
+    return ranked.withColumnRenamed("total_before", into).drop("_file", "chunk", "pos")

@@ -54,7 +54,7 @@ def resolve_path(including: str, path: str) -> str:
     """
     scheme, rest = re.fullmatch(r"((?:[a-zA-Z][\w+.-]*:)?(?://[^/]*)?)(/.*)", including).groups()
     if re.match(r"[a-zA-Z][\w+.-]*:/", path):
-        return path
+        return re.sub(r"^file:/+", "file:/", path)
     return scheme + posixpath.normpath(posixpath.join(posixpath.dirname(rest), path))
 
 

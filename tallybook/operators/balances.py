@@ -2,8 +2,8 @@
 
 An account shows the totals posted to itself and to every account whose name is a
 text prefix of its own. The prefix test becomes an equi join: each account lists
-its own prefixes and looks them up among the accounts with totals, so no pair of
-accounts is ever compared.
+its own prefixes, of the few lengths that accounts with totals have, and looks them up
+among those, so no pair of accounts is ever compared.
 """
 
 from __future__ import annotations
@@ -80,9 +80,10 @@ def spread_totals(
     posted = totals.filter(F.col(m.commodity_final).isNotNull()).withColumnRenamed(
         "account", "account_right"
     )
-    prefixes = accounts.select(
-        "account", F.explode(F.sequence(F.lit(1), F.length("account"))).alias("upto")
-    ).select("account", F.substring("account", F.lit(1), F.col("upto")).alias("account_right"))
+    # Names of other lengths than those of accounts with totals cannot match.
+    lengths = posted.agg(F.collect_set(F.length("account_right"))).scalar()
+    reach = accounts.select("account", F.explode(lengths).alias("upto"))
+    prefixes = reach.filter(F.col("upto") <= F.length("account")).select("account", F.substring("account", F.lit(1), F.col("upto")).alias("account_right"))
     held = (
         prefixes.join(posted, "account_right")
         .groupBy("account", m.commodity_final)

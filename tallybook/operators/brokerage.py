@@ -152,6 +152,12 @@ def import_activities(
             "date": year_first(F.col("settled")),
         }
     )
+    # Only these two have a cost that is not in the row.
+    costs = of_rule(F.col("rule"), ACTIVITY_CODES, "template").isin("transfer", "reinvest")
+    cost = F.when(costs, price_times_quantity(F.col("price_value"), F.col("quantity_value")))
+    numbers = F.col("price_value").isNotNull() & F.col("quantity_value").isNotNull()
+    rows = rows.withColumn("product", cost)
+    cost = F.col("product")
     rows = _judge(
         rows,
         [
@@ -160,6 +166,7 @@ def import_activities(
             _not_a_number("quantity"),
             _not_a_number("amount"),
             (F.col("date").isNull(), "settled is not a date"),
+            (costs & numbers & cost.isNull(), "cost too large"),
         ],
     )
     rejects = _refused(rows, original)
@@ -167,9 +174,7 @@ def import_activities(
         {
             "cash_amount": rescale(F.col("amount_value")),
             "units": rescale(F.col("quantity_value")),
-            "cost": force_positive(
-                price_times_quantity(F.col("price_value"), F.col("quantity_value"))
-            ),
+            "cost": force_positive(cost),
             "used_currency": F.coalesce("currency", as_column(currency)),
             "narration": F.concat("display", F.lit(":"), "description"),
         }

@@ -83,11 +83,12 @@ def complete_transactions(
     shares that go to different tasks; the list of such transactions has at most
     (rows / rows_per_task) entries, which is why it may be broadcast.
     """
-    owed = _amounts_owed(postings).filter(F.col("owed").isNotNull() & (F.col("gaps") > 0))
+    owed = _amounts_owed(postings).filter(F.col("gaps") > 0)
     owed = owed.withColumn(
         "shares", F.ceil(F.col("gaps") / F.lit(rows_per_task)).cast("int")
     )
     large = owed.filter(F.col("shares") > 1).select("transaction_no", "shares")
+    owed = owed.filter(F.col("owed").isNotNull())
 
     with_gap = (
         postings.filter(_has_gap())

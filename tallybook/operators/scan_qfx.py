@@ -20,6 +20,7 @@ from tallybook.operators.lookups import name_accounts
 # Tags of the statement format.
 _STATEMENTS = ("STMTTRNRS", "CCSTMTTRNRS")
 _ACCOUNTS = ("BANKACCTFROM", "CCACCTFROM")
+_BODY = "OFX"
 _PARTS = (*_STATEMENTS, *_ACCOUNTS, "STMTRS", "CCSTMTRS", "BANKTRANLIST", "LEDGERBAL", "AVAILBAL")
 _IN_TRANSACTION = ("PAYEE", "BANKACCTTO", "CCACCTTO", "CURRENCY", "ORIGCURRENCY")
 _LEAVES = ("CURDEF", "ACCTID", "DTPOSTED", "TRNAMT", "NAME", "MEMO", "BALAMT", "DTASOF")
@@ -45,7 +46,7 @@ def _place_tags(tags: DataFrame) -> DataFrame:
             F.substr("token", F.length(before) + 2).alias("text"),
         )
         # Other tags neither open a part nor hold a value that is used.
-        .filter(F.col("tag").isin(*_PARTS, *_IN_TRANSACTION, "STMTTRN", *_LEAVES))
+        .filter(F.col("tag").isin(*_PARTS, *_IN_TRANSACTION, "STMTTRN", _BODY, *_LEAVES))
     )
     tag, opens = F.col("tag"), ~F.col("closes")
     part = (
@@ -56,15 +57,18 @@ def _place_tags(tags: DataFrame) -> DataFrame:
     placed = carry_forward(
         parsed,
         {
-            "statement": F.when(opens & tag.isin(*_STATEMENTS), tag),
+            "body": F.when(opens & (tag == _BODY), tag),
+            "statement": F.when(tag.isin(*_STATEMENTS), F.when(opens, tag).otherwise("")),
             "transaction": F.when(opens & (tag == "STMTTRN"), tag),
             "part": part,
         },
     )
     leaf = F.when(opens & tag.isin(*_LEAVES), expand_entities(strip(F.col("text"))))
-    return placed.select(
-        "tag", leaf.alias("value"), "statement_no", "transaction_no", "part", "part_no"
-    ).filter(F.col("value").isNotNull() & F.col("statement_no").isNotNull())
+    # What stands before the body of its file is not part of the statement.
+    inside = F.when(F.col("statement") != "", F.col("statement_no")).alias("statement_no")
+    return placed.filter(F.col("body").isNotNull()).select(
+        "tag", leaf.alias("value"), inside, "transaction_no", "part", "part_no"
+    ).filter(F.col("value").isNotNull())
 
 
 def _entries(leaves: DataFrame) -> DataFrame:
@@ -88,7 +92,7 @@ def _entries(leaves: DataFrame) -> DataFrame:
     values = [F.max(F.when(tag == name, F.col("value"))).alias(name.lower()) for name in _LEAVES]
     return (
         leaves.withColumns({"kind": kind, "number": number})
-        .filter(F.col("kind").isNotNull())
+        .filter(F.col("kind").isNotNull() & F.col("number").isNotNull())
         .groupBy("number")
         .agg(
             F.max("kind").alias("kind"),
@@ -101,8 +105,9 @@ def _entries(leaves: DataFrame) -> DataFrame:
 def scan_qfx(tags: DataFrame, accounts: DataFrame, consecutive: bool = False) -> Book:
     """Transactions, one posting each, and balance assertions, from statement tags.
 
-    ``accounts`` names account ids; an id without a name is used as it is. A
-    transaction or balance whose date or amount cannot be read is a reject.
+    ``accounts`` names account ids; an id without a name is used as it is. Nothing before a
+    file's ``<OFX>`` counts. A transaction or balance whose date or amount cannot be read is a reject, and so is one that
+    stands outside a statement or in one without an account or a currency.
     Statement numbers grow in document order. With ``consecutive`` they count the
     transactions from one and then the balances, which costs two rankings.
     """
@@ -117,8 +122,9 @@ def scan_qfx(tags: DataFrame, accounts: DataFrame, consecutive: bool = False) ->
     )
 
     moves = name_accounts(
-        moves.join(statements, "statement_no").select(
+        moves.join(statements, "statement_no", "left").select(
             "number",
+            "statement_no",
             "account",
             "commodity",
             compact(F.col("dtposted")).alias("date"),
@@ -128,8 +134,9 @@ def scan_qfx(tags: DataFrame, accounts: DataFrame, consecutive: bool = False) ->
         accounts,
     )
     held = name_accounts(
-        held.join(statements, "statement_no").select(
+        held.join(statements, "statement_no", "left").select(
             "number",
+            "statement_no",
             "account",
             "commodity",
             compact(F.col("dtasof")).alias("date"),
@@ -137,15 +144,21 @@ def scan_qfx(tags: DataFrame, accounts: DataFrame, consecutive: bool = False) ->
         ),
         accounts,
     )
-    readable = F.col("date").isNotNull() & F.col("quantity").isNotNull()
-    reason = F.when(F.col("date").isNull(), "date cannot be read").otherwise("amount cannot be read")
+    reason = (
+        F.when(F.col("statement_no").isNull(), "outside a statement")
+        .when(F.col("account").isNull(), "no account")
+        .when(F.col("commodity").isNull(), "no currency")
+        .when(F.col("date").isNull(), "date cannot be read")
+        .when(F.col("quantity").isNull(), "amount cannot be read")
+    )
+    judged = ("number", "statement_no", "account", "commodity", "date", "quantity")
     rejects = (
-        moves.select("number", "account", "date", "quantity")
-        .unionByName(held.select("number", "account", "date", "quantity"))
-        .filter(~readable)
+        moves.select(*judged)
+        .unionByName(held.select(*judged))
+        .filter(reason.isNotNull())
         .select(F.col("number").alias("statement_no"), "account", reason.alias("reason"))
     )
-    moves, held = moves.filter(readable), held.filter(readable)
+    moves, held = moves.filter(reason.isNull()), held.filter(reason.isNull())
     if consecutive:
         moves, held = _count_up(moves, held)
 

@@ -86,7 +86,7 @@ def scan_text(lines: DataFrame, folder: str | None = None) -> Book:
     ).withColumnRenamed("number", "statement_no")
     if folder is not None:
         placed.select(*_PLACE, "kind", "opener", "opener_no", "line").write.mode(
-            "overwrite"
+            "errorifexists"
         ).partitionBy("kind").parquet(folder)
         placed = lines.sparkSession.read.parquet(folder)
     return Book(

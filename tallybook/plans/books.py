@@ -83,7 +83,7 @@ def verify(book: Book, keep: bool = False, folder: str | None = None) -> Verifie
     """
     completed = complete_transactions(book.postings)
     if folder is not None:
-        completed.write.mode("overwrite").parquet(folder)
+        completed.write.mode("errorifexists").parquet(folder)
         completed = completed.sparkSession.read.parquet(folder)
     elif keep:
         completed = completed.persist(StorageLevel.MEMORY_AND_DISK)
@@ -105,9 +105,13 @@ def us_book(
     account: str,
     owner: str,
     currency: str,
+    multiline: bool = False,
+    folder: str | None = None,
     **options: Any,
 ) -> Book:
-    return brokerage.import_us(read_us(spark, paths), account, owner, currency, **options)
+    """``multiline`` and ``folder`` go to the reader, ``options`` to the importer."""
+    rows = read_us(spark, paths, multiline=multiline, folder=folder)
+    return brokerage.import_us(rows, account, owner, currency, **options)
 
 
 def activities_book(
@@ -117,10 +121,12 @@ def activities_book(
     account: str,
     owner: str,
     currency: str,
+    multiline: bool = False,
+    folder: str | None = None,
     **options: Any,
 ) -> Book:
     return brokerage.import_activities(
-        read_activities(spark, paths),
+        read_activities(spark, paths, multiline=multiline, folder=folder),
         read_symbols(spark, symbol_paths),
         account,
         owner,
@@ -135,10 +141,12 @@ def closed_book(
     account: str,
     owner: str,
     currency: str,
+    multiline: bool = False,
+    folder: str | None = None,
     **options: Any,
 ) -> tuple[Book, DataFrame]:
     """The book, and the (symbol, description) pairs of its rows."""
-    rows = read_closed(spark, paths)
+    rows = read_closed(spark, paths, multiline=multiline, folder=folder)
     return (
         brokerage.import_closed(rows, account, owner, currency, **options),
         brokerage.closed_commodities(rows),
@@ -151,9 +159,12 @@ def holdings_balances(
     owners: DataFrame,
     date: str,
     currency: str,
+    multiline: bool = False,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(balance assertions, rejects)."""
-    return brokerage.import_holdings(read_holdings(spark, paths), owners, date, currency)
+    rows = read_holdings(spark, paths, multiline=multiline, folder=folder)
+    return brokerage.import_holdings(rows, owners, date, currency)
 
 
 def statement_book(
@@ -162,8 +173,11 @@ def statement_book(
     account_paths: str | Sequence[str],
     encoding: str | None = None,
     consecutive: bool = False,
+    folder: str | None = None,
 ) -> Book:
-    """Bank and credit-card statements."""
-    return scan_qfx(
-        read_tags(spark, paths, encoding), read_account_names(spark, account_paths), consecutive
-    )
+    """Bank and credit-card statements. ``folder`` stages the tags."""
+    tags = read_tags(spark, paths, encoding)
+    if folder is not None:
+        tags.write.mode("errorifexists").parquet(folder)
+        tags = spark.read.parquet(folder)
+    return scan_qfx(tags, read_account_names(spark, account_paths), consecutive)

@@ -197,9 +197,9 @@ _QUERIES: dict[str, Callable[[Star], DataFrame]] = {
         normalise_verifications(S.verifications(s))
     )[1],
     # text in
-    "scan_text_transactions": lambda s: _book(s).transactions.select("date", "narration", "tags"),
+    "scan_text_transactions": lambda s: _book(s).transactions.drop("file_no"),
     "scan_text_postings": _scanned_postings,
-    "scan_text_verifications": lambda s: _book(s).verifications.drop("statement_no"),
+    "scan_text_verifications": lambda s: _book(s).verifications,
     "scan_text_info": lambda s: _book(s).informationals.drop("statement_no"),
     "scan_text_includes": lambda s: _book(s).includes.select("path"),
     "scan_text_rejects": lambda s: _book(s).rejects.select("line", "reason"),

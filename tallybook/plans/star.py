@@ -284,11 +284,12 @@ def statement_tags(star: Star) -> DataFrame:
     is_card = F.col("c_custkey") % 3 == 0
     opening = F.when(
         is_card,
-        _text("<CCSTMTTRNRS><CCSTMTRS><curdef>USD<CCACCTFROM><ACCTID>", customer, "</CCACCTFROM><BANKTRANLIST>"),
+        _text("<OFX><CCSTMTTRNRS><CCSTMTRS>", F.when(_every("c_custkey", 39), "").otherwise("<curdef>USD"), "<CCACCTFROM><ACCTID>", customer, "</CCACCTFROM><BANKTRANLIST>"),
     ).otherwise(
         _text(
-            "<STMTTRNRS><TRNUID>1<STMTRS><CURDEF>CAD\n<BANKACCTFROM><BANKID>9<ACCTID> ",
-            customer,
+            F.when(_every("c_custkey", 47), "<OFX></STMTTRNRS>").otherwise(
+                _text("<OFX><STMTTRNRS><TRNUID>1<STMTRS><CURDEF>CAD\n<BANKACCTFROM><BANKID>9<ACCTID> ", customer)
+            ),
             "\r\n</BANKACCTFROM><BANKTRANLIST>",
         )
     )
@@ -345,7 +346,7 @@ def statement_tags(star: Star) -> DataFrame:
 
 
 def account_names(star: Star) -> DataFrame:
-    return star.supplier.filter(_every("s_suppkey", 2)).select(
+    return star.supplier.select(
         F.col("s_suppkey").cast("string").alias("key"),
         _text("Assets:Bank:B", F.col("s_suppkey")).alias("value"),
     )
@@ -354,6 +355,10 @@ def account_names(star: Star) -> DataFrame:
 # --- book text ------------------------------------------------------------------
 
 
+#: Document positions one chunk of book lines spans.
+_POSITIONS_PER_CHUNK = 1 << 15
+
+
 def book_lines(star: Star) -> DataFrame:
     """Both tables above written out, with other statements and faults between them.
 
@@ -420,7 +425,7 @@ def book_lines(star: Star) -> DataFrame:
     )
     return legs.unionByName(others).select(
         F.floor(F.col("book_key") / 4096).cast("long").alias("file_no"),
-        F.floor(F.col("pos") / 80).cast("long").alias("chunk"),
+        F.floor(F.col("pos") / _POSITIONS_PER_CHUNK).cast("long").alias("chunk"),
         "pos",
         "line",
     )

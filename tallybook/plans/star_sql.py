@@ -403,13 +403,37 @@ _RAW_LINE = """'  ' || account
   || coalesce(' ' || cp_quantity || ' ' || cp_commodity, '')
   || coalesce(' @@ ' || tc_quantity || ' ' || tc_commodity, '')"""
 
+# Where every line of the book stands, and its number: 2**36 times the file's plus its place in it.
+_LINES = "lines AS (SELECT transaction_no // 4096 AS file_no, statement_no * 2 AS pos FROM post" + "".join(
+    f" UNION ALL SELECT o_orderkey // 4096, (o_orderkey * 16 + {slot}) * 2 + {after} FROM orders WHERE {when}"
+    for slot, after, when in [
+        (0, 0, "true"),
+        (5, 1, "o_orderkey % 53 = 0"),
+        (10, 0, "o_orderkey % 3 = 0"),
+        (11, 0, "o_orderkey % 3 = 1"),
+        (12, 0, "o_orderkey % 4 < 3"),
+        (13, 0, "o_orderkey % 23 = 0"),
+        (13, 0, "o_orderkey % 29 = 0"),
+        (13, 0, "o_orderkey % 31 = 0"),
+        (14, 0, "o_orderkey % 37 = 0"),
+        (14, 0, "o_orderkey % 41 = 0"),
+        (15, 0, "o_orderkey % 3 = 2"),
+    ]
+) + """),
+numbered AS (SELECT pos, file_no * 68719476736 + row_number() OVER (PARTITION BY file_no ORDER BY pos) AS number
+             FROM lines)"""
+
 _DAY = "strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d')"
 
 # --- bank statements ------------------------------------------------------------
 
-_BANK = """bank AS (
+# Faulty statements: no currency, no account, outside a statement.
+_STATED = """CASE WHEN c_custkey % 39 = 0 THEN 'no currency'
+              WHEN c_custkey % 47 = 0 AND c_custkey % 3 <> 0 THEN 'outside a statement' END AS fault,"""
+_BANK = f"""bank AS (
   SELECT o_custkey, o_orderkey,
          coalesce('Assets:Bank:B' || s_suppkey, CAST(c_custkey AS VARCHAR)) AS account,
+         {_STATED}
          CASE WHEN c_custkey % 3 = 0 THEN 'USD' ELSE 'CAD' END AS commodity,
          CASE WHEN o_orderkey % 59 <> 0 THEN CAST(o_orderdate AS DATE) END AS date,
          CASE WHEN o_orderkey % 61 <> 0
@@ -419,10 +443,10 @@ _BANK = """bank AS (
               WHEN o_orderkey % 6 = 0 THEN 'Tom &amp; Co ' || o_orderkey
               ELSE 'Tom &amp; Co ' || o_orderkey || ' / for <' || o_orderpriority || '>' END AS narration
   FROM orders JOIN customer ON o_custkey = c_custkey
-  LEFT JOIN supplier ON s_suppkey = c_custkey AND s_suppkey % 2 = 0),
+  LEFT JOIN supplier ON s_suppkey = c_custkey),
 moves AS (
   SELECT *, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS number
-  FROM bank WHERE date IS NOT NULL AND quantity IS NOT NULL)"""
+  FROM bank WHERE date IS NOT NULL AND quantity IS NOT NULL AND fault IS NULL)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -487,7 +511,7 @@ SELECT trim(symbol) AS symbol, description FROM closed WHERE trim(symbol) <> ''"
         "symbol_lookup": f"WITH {_ACT} SELECT row_no, description, symbol FROM act_all",
         "account_lookup": """SELECT c_custkey,
   coalesce('Assets:Bank:B' || s_suppkey, CAST(c_custkey AS VARCHAR)) AS account
-FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey AND s_suppkey % 2 = 0""",
+FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""",
         "owner_lookup": f"""SELECT c_custkey AS row_no, c_mktsegment AS client_name, {_OWNER} AS owner
 FROM customer""",
         "money_parse": f"""WITH {_US}
@@ -509,19 +533,22 @@ SELECT *, strftime(date, '%Y-%m-%d') || CASE action WHEN 0 THEN ' open ' || acco
 FROM norm WHERE action <> 1 OR commodity IS NOT NULL""",
         "render_verification_rejects": f"""WITH {_VERIF}
 SELECT * FROM norm WHERE action = 1 AND commodity IS NULL""",
-        "scan_text_transactions": f"WITH {_TXN} SELECT date, narration, tags FROM txn",
+        "scan_text_transactions": f"""WITH {_TXN}, {_POST}, {_LINES}
+SELECT number AS statement_no, date, narration, tags
+FROM txn JOIN numbered ON pos = txn.statement_no * 32""",
         "scan_text_postings": f"""WITH {_TXN}, {_POST}
 SELECT narration, account, cp_quantity, cp_commodity,
        coalesce(tc_quantity, cp_quantity) AS tc_quantity, coalesce(tc_commodity, cp_commodity) AS tc_commodity
 FROM post JOIN txn ON transaction_no = txn.statement_no
 WHERE transaction_no % 53 <> 0 OR post.statement_no % 16 <= 5""",
-        "scan_text_verifications": """
-SELECT o_orderkey // 4096 AS file_no, CAST(o_orderdate AS DATE) AS date,
+        "scan_text_verifications": f"""WITH {_POST}, {_LINES}
+SELECT number AS statement_no, o_orderkey // 4096 AS file_no, CAST(o_orderdate AS DATE) AS date,
        CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS action,
        'Assets:Customers:C' || o_orderkey AS account,
        CASE WHEN o_orderkey % 3 = 1 THEN CAST('-' || o_orderkey || '.125' AS DECIMAL(38,10)) END AS quantity,
        CASE WHEN o_orderkey % 3 = 1 THEN 'USD' END AS commodity
-FROM orders""",
+FROM orders JOIN numbered
+  ON pos = (o_orderkey * 16 + CASE o_orderkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 11 ELSE 15 END) * 2""",
         "scan_text_info": """
 SELECT o_orderkey // 4096 AS file_no,
        CASE WHEN o_orderkey % 4 <> 1 THEN CAST(o_orderdate AS DATE) END AS date,
@@ -555,8 +582,13 @@ SELECT (SELECT count(*) FROM moves) + row_number() OVER (ORDER BY c_custkey) AS
        coalesce('Assets:Bank:B' || s_suppkey, CAST(c_custkey AS VARCHAR)) AS account,
        CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DECIMAL(38,10)) AS quantity,
        CASE WHEN c_custkey % 3 = 0 THEN 'USD' ELSE 'CAD' END AS commodity
-FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey AND s_suppkey % 2 = 0""",
-        "qfx_rejects": f"""WITH {_BANK}
-SELECT account, CASE WHEN date IS NULL THEN 'date cannot be read' ELSE 'amount cannot be read' END AS reason
-FROM bank WHERE date IS NULL OR quantity IS NULL""",
+FROM (SELECT {_STATED} * FROM customer) LEFT JOIN supplier ON s_suppkey = c_custkey WHERE fault IS NULL""",
+        "qfx_rejects": f"""WITH {_BANK},
+held AS (SELECT coalesce('Assets:Bank:B' || s_suppkey, CAST(c_custkey AS VARCHAR)) AS account, {_STATED}
+                DATE '2024-01-31' AS date, 1 AS quantity
+         FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey),
+entries AS (SELECT account, fault, date, quantity FROM bank UNION ALL SELECT account, fault, date, quantity FROM held)
+SELECT CASE WHEN fault IS DISTINCT FROM 'outside a statement' THEN account END AS account,
+       coalesce(fault, CASE WHEN date IS NULL THEN 'date cannot be read' ELSE 'amount cannot be read' END) AS reason
+FROM entries WHERE fault IS NOT NULL OR date IS NULL OR quantity IS NULL""",
     }

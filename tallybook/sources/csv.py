@@ -6,12 +6,18 @@ are decoded by the importer, which can then say why a row was refused.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
+from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallybook.functions.order import numbered
+from tallybook.sources.files import with_file_numbers
+
 # Header names of each export, and the column names used here.
 US_COLUMNS = {
     "Account #": "account_no",
@@ -80,61 +86,87 @@ HOLDINGS_COLUMNS = {
 }
 
 
+def _headers(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header. One row per file comes to the driver, which lists them anyway."""
+    lines = spark.read.text(paths).select(
+        F.input_file_name().alias("path"),
+        F.col("_metadata.file_block_start").alias("chunk"),
+        F.monotonically_increasing_id().alias("pos"),
+        "value",
+    )
+    first = lines.filter(F.col("chunk") == 0).groupBy("path").agg(F.min_by("value", "pos").alias("line"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("path").collect():
+        header = next(csv.reader([row["line"].removeprefix("\ufeff")]), [])
+        found.setdefault(tuple(header), []).append(row["path"])
+    return found
+
+
 def read_export(
     spark: SparkSession,
     paths: str | Sequence[str],
     columns: Mapping[str, str],
     multiline: bool = False,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Rows of CSV files that share one header.
+    """Rows of CSV files; columns are found by the header of each file.
 
-    Adds ``file``, ``chunk`` and ``pos`` (document order), ``row_no`` (= ``pos``, an
-    increasing row number with gaps) and ``malformed`` (wrong number of fields).
-    ``multiline`` lets a quoted cell hold line breaks, at the price of one task per
-    file.
+    Adds ``path``, ``file`` (its number), ``chunk`` and ``pos`` (document order), ``row_no``
+    (see ``functions.order``: from the file and the row's place in it, however the file was split)
+    and ``malformed`` (wrong number of fields). ``multiline`` lets a quoted cell hold line
+    breaks, at the price of one task per file. ``folder``, a new shared one, keeps the numbered
+    rows, so that several tables cost one scan.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
-    header = reader.csv(paths).columns
-    absent = [name for name in columns if name not in header]
-    if absent:
-        raise ValueError(f"the export has no column {', '.join(absent)}")
-    schema = T.StructType(
-        [T.StructField(name, T.StringType()) for name in [*header, "_malformed"]]
-    )
-    scanned = (
-        reader.schema(schema)
-        .option("columnNameOfCorruptRecord", "_malformed")
-        # Field counts are checked only on rows that are parsed in full.
-        .option("columnPruning", False)
-        .csv(paths)
-    )
-    order = F.monotonically_increasing_id()
-    return scanned.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("chunk"),
-        order.alias("pos"),
-        *[F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(ours) for name, ours in columns.items()],
-        F.col("_malformed").isNotNull().alias("malformed"),
-    ).withColumn("row_no", F.col("pos"))
-
-
-def read_us(spark: SparkSession, paths: str | Sequence[str], multiline: bool = False) -> DataFrame:
-    return read_export(spark, paths, US_COLUMNS, multiline)
-
-
-def read_activities(
-    spark: SparkSession, paths: str | Sequence[str], multiline: bool = False
-) -> DataFrame:
-    return read_export(spark, paths, ACTIVITY_COLUMNS, multiline)
-
-
-def read_closed(
-    spark: SparkSession, paths: str | Sequence[str], multiline: bool = False
-) -> DataFrame:
-    return read_export(spark, paths, CLOSED_COLUMNS, multiline)
-
-
-def read_holdings(
-    spark: SparkSession, paths: str | Sequence[str], multiline: bool = False
-) -> DataFrame:
-    return read_export(spark, paths, HOLDINGS_COLUMNS, multiline)
+    headers = _headers(spark, paths)
+    parts, files = [], []
+    for header, of_header in headers.items():
+        absent = [name for name in columns if name not in header]
+        if absent:
+            raise ValueError(f"{of_header[0]} has no column {', '.join(absent)}")
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in [*header, "_malformed"]])
+        scanned = (
+            spark.read.option("header", True)
+            .option("escape", '"')
+            .option("multiLine", multiline)
+            .schema(schema)
+            .option("columnNameOfCorruptRecord", "_malformed")
+            # Field counts are checked only on rows that are parsed in full.
+            .option("columnPruning", False)
+            .csv(paths if len(headers) == 1 else [unquote(path) for path in of_header])
+        )
+        files += scanned.inputFiles()
+        parts.append(
+            scanned.select(
+                F.input_file_name().alias("path"),
+                F.col("_metadata.file_block_start").alias("chunk"),
+                F.monotonically_increasing_id().alias("pos"),
+                *[F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(ours) for name, ours in columns.items()],
+                F.col("_malformed").isNotNull().alias("malformed"),
+            )
+        )
+    if not parts:
+        raise ValueError("the export has no header")
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = numbered(with_file_numbers(rows, files)).withColumnRenamed("number", "row_no")
+    if folder is not None:
+        rows.write.mode("errorifexists").parquet(folder)
+        rows = spark.read.parquet(folder)
+    return rows
+
+
+def read_us(spark: SparkSession, paths: str | Sequence[str], **options: Any) -> DataFrame:
+    return read_export(spark, paths, US_COLUMNS, **options)
+
+
+def read_activities(spark: SparkSession, paths: str | Sequence[str], **options: Any) -> DataFrame:
+    return read_export(spark, paths, ACTIVITY_COLUMNS, **options)
+
+
+def read_closed(spark: SparkSession, paths: str | Sequence[str], **options: Any) -> DataFrame:
+    return read_export(spark, paths, CLOSED_COLUMNS, **options)
+
+
+def read_holdings(spark: SparkSession, paths: str | Sequence[str], **options: Any) -> DataFrame:
+    return read_export(spark, paths, HOLDINGS_COLUMNS, **options)

@@ -46,6 +46,5 @@ def read_account_names(spark: SparkSession, paths: str | Sequence[str]) -> DataF
 
 
 def lookup_table(spark: SparkSession, entries: Iterable[tuple[str, str]]) -> DataFrame:
-    """A lookup given in code. It is on the driver already, so it may be broadcast."""
-    rows = list(dict(entries).items())
-    return F.broadcast(spark.createDataFrame(rows, "key string, value string"))
+    """A lookup given in code."""
+    return spark.createDataFrame(list(dict(entries).items()), "key string, value string")

@@ -13,25 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions.text import decode_windows_1252
+from tallybook.sources.files import with_file_numbers
 
 
 def read_tags(
     spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None
 ) -> DataFrame:
-    """``file, chunk, pos, token``; a token is ``TAG>text`` or ``/TAG>text``.
+    """``path, file, chunk, pos, token``; ``file`` numbers the paths; a token is ``TAG>text`` or ``/TAG>text``.
 
     ``encoding`` "1252" decodes Windows-1252; anything else is read as UTF-8. What
     stands before the first tag is a token without ``>``, which no tag matches.
     """
     value = F.col("value")
     token = decode_windows_1252(value) if encoding == "1252" else value
-    return (
-        spark.read.option("lineSep", "<")
-        .text(paths)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
+    scanned = spark.read.option("lineSep", "<").text(paths)
+    return with_file_numbers(
+        scanned.select(
+            F.input_file_name().alias("path"),
             F.col("_metadata.file_block_start").alias("chunk"),
             F.monotonically_increasing_id().alias("pos"),
             token.alias("token"),
-        )
+        ),
+        scanned.inputFiles(),
     )

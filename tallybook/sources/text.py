@@ -11,8 +11,9 @@ from tallybook.functions.text import INCLUDE, LINE_END, resolve_path
 
 
 def _plain_path() -> Column:
-    """Path of the row's file. It comes percent-encoded and has to equal the path as read."""
-    path = F.col("_metadata.file_path")
+    """Path of the row's file. It comes percent-encoded and has to equal the path as read; a local
+    one is written with one slash, however it was given."""
+    path = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
     decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
     return F.when(path.contains("%"), decoded).otherwise(path)
 
@@ -32,7 +33,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def _include_edges(lines: DataFrame) -> list[tuple[str, str]]:
-    """(including file, path as written), in document order within a file.
+    """(including file, path as written), each once, in the order of their first lines.
 
     What comes to the driver is the list of input files, which ``spark.read`` needs
     there anyway.
@@ -42,7 +43,9 @@ def _include_edges(lines: DataFrame) -> list[tuple[str, str]]:
         lines.filter(F.col("line").startswith("include"))
         .select("file", "chunk", "pos", path.alias("path"))
         .filter(F.col("path") != "")
-        .orderBy("file", "chunk", "pos")
+        .groupBy("file", "path")
+        .agg(F.min(F.struct("chunk", "pos")).alias("at"))
+        .orderBy("file", "at")
     )
     return [(row["file"], row["path"]) for row in found.collect()]
 
@@ -86,8 +89,10 @@ def included_files(spark: SparkSession, path: str) -> list[str]:
 def read_book_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a book and of all it includes, with ``file_no`` in reading order.
 
-    The numbering is broadcast: it is the list of input paths, already on the driver.
+    A line of a file that has no number stops the job: it would be lost otherwise.
     """
     files = included_files(spark, path)
-    numbers = spark.createDataFrame(list(zip(files, range(len(files)))), "file string, file_no long")
-    return read_lines(spark, files).join(F.broadcast(numbers), "file")
+    numbers = spark.createDataFrame(list(zip(files, range(len(files)))), "file string, _no long")
+    absent = F.raise_error(F.concat(F.lit("a file without a number: "), F.col("file")))
+    numbered = read_lines(spark, files).join(numbers, "file", "left")
+    return numbered.withColumn("file_no", F.coalesce("_no", absent.cast("long"))).drop("_no")

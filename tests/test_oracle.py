@@ -3,7 +3,9 @@
 import pytest
 
 import oracle
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tallybook.plans.registry import queries
+from tallybook.plans.star_sql import oracle_sql
 
 FOLDER = "/root/testdata/sf0.001"
 
