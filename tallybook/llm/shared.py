@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds the memory of a task.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

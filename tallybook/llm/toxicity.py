@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, doc_texts, like, mix, text_bytes, with_rest, words
+from .shared import BLOCK, blocks, doc_texts, like, mix, text_bytes, with_rest, words
 
 # Words of the second person.
 SECOND_PERSON = (
@@ -19,6 +19,8 @@ SECOND_PERSON = (
 #: Lengths of word beginnings that count as terms, so that inflected forms of one stem meet.
 PREFIXES = (4, 5, 6)
 N_FEATURES = 16
+#: A byte of text takes some hundred bytes of numbers here.
+_BLOCK = BLOCK // 2
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +99,7 @@ def features(data: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     for d in range(1, 6):  # within five words of the same text
         near[d:] |= hit[d:] & you[:-d] & (rows[d:] == rows[:-d])
         near[:-d] |= hit[:-d] & you[d:] & (rows[d:] == rows[:-d])
-    classes = np.zeros((6, len(data) + 1), np.int64)
+    classes = np.zeros((6, len(data) + 1), np.int32)
     for k in range(1, 6):
         np.cumsum(kind == k, out=classes[k, 1:])
     in_word = lambda k: classes[k, end] - classes[k, start]
@@ -239,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexico
         for b in batches:
             data, at = text_bytes(b.column(0))
             toxic = b.column(1).to_numpy()
-            for i, j in blocks(at):
+            for i, j in blocks(at, _BLOCK):
                 part, ends = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 if not len(part):
                     continue
@@ -272,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexico
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = text_bytes(b.column(0))
-            x = np.concatenate([np.zeros((0, N_FEATURES)), *(features(data[at[i] : at[j]], at[i : j + 1] - at[i], lexicon) for i, j in blocks(at))])
+            x = np.concatenate([np.zeros((0, N_FEATURES)), *(features(data[at[i] : at[j]], at[i : j + 1] - at[i], lexicon) for i, j in blocks(at, _BLOCK))])
             yield pa.record_batch({"y": b.column(1), "key": b.column(2)} | {f"f{i}": pa.array(x[:, i]) for i in range(N_FEATURES)})
 
     rows = texts.mapInArrow(measured, f"y int, key long, {columns}").toPandas()
@@ -294,7 +296,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = text_bytes(b.column("text"))
-            s = np.concatenate([np.zeros(0), *(model.scores(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in blocks(at))])
+            s = np.concatenate([np.zeros(0), *(model.scores(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in blocks(at, _BLOCK))])
             yield pa.record_batch({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32))})
 
     rows = doc_texts(docs, held_out(F.col("doc_id").cast("long")).alias("held_out"))
@@ -308,7 +310,7 @@ def accepted(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFr
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = text_bytes(b.column("text"))
-            s = np.concatenate([np.zeros(0), *(model.scores(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in blocks(at))])
+            s = np.concatenate([np.zeros(0), *(model.scores(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in blocks(at, _BLOCK))])
             yield b.filter(pa.array(s < threshold))
 
     return like(rows.mapInArrow(passed, rows.schema), docs)
