@@ -278,7 +278,7 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat id and text one stays. Rows without id stay if one of them heads a group.
     """
-    heads = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
-    stay = docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(heads["head"]), "left_semi")
-    once = stay.withColumn("_key", F.xxhash64("doc_id", "text"))
-    return once.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    heads = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("head_")).agg(F.count("*").alias("rows_"))
+    stay = docs.join(staged(heads), F.col("doc_id").cast("long").eqNullSafe(F.col("head_"))).drop("head_")
+    once = stay.where("rows_ > 1").withColumn("text_", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "text_"]).drop("text_")
+    return stay.where("rows_ = 1").unionByName(once).drop("rows_")

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOCK, blocks, doc_texts, like, mix, text_bytes, with_rest, words
+from .shared import BLOCK, blocks, doc_texts, mix, ship, text_bytes, words
 
 # Words of the second person.
 SECOND_PERSON = (
@@ -279,6 +280,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexico
 
     rows = texts.mapInArrow(measured, f"y int, key long, {columns}").toPandas()
     x, y = rows.filter(regex="^f").to_numpy(float), rows["y"].to_numpy(float)
+    if len(set(y)) < 2:
+        return Model(lexicon, None, (np.zeros(1), np.zeros(1)), float(y.max(initial=0)))
     fold = mix(rows["key"].to_numpy(np.int64).view(np.uint64)) % np.uint64(5) == 0
     if len(set(y[~fold])) < 2 or len(set(y[fold])) < 2:
         fold = np.zeros(len(y), bool)
@@ -305,12 +308,11 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
 
 def accepted(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
     """The documents, with all their columns, whose score is below the threshold."""
-    rows = with_rest(docs)
+    ship(docs.sparkSession)
 
-    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, at = text_bytes(b.column("text"))
-            s = np.concatenate([np.zeros(0), *(model.scores(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in blocks(at, _BLOCK))])
-            yield b.filter(pa.array(s < threshold))
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        data, at = text_bytes(pa.array(texts, pa.large_string(), from_pandas=True))
+        return pd.Series(np.concatenate([np.zeros(0), *(model.scores(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in blocks(at, _BLOCK))]))
 
-    return like(rows.mapInArrow(passed, rows.schema), docs)
+    return docs.where(scored(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
