@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import _ODD, _powers, blocks, components, doc_texts, gram_rows, grams, lowered, mix, staged, text_bytes, words
+from .shared import _ODD, _powers, blocks, components, doc_texts, gram_rows, grams, lowered, mix, staged, text_bytes, trimmed, words
 
 LIST, NEAR, SUBSET = 0, 1, 2  # kinds of postings
-#: Shingles a task counts at a time to find common ones; beyond it those met once are forgotten.
+#: Shingles a task counts at a time to find common ones; beyond it those met least are forgotten.
 _COUNTED = 3_000_000
 
 
@@ -61,6 +61,22 @@ def set_keys(row: np.ndarray, token: np.ndarray, n_rows: int) -> tuple[np.ndarra
     return size, key.view(np.int64)
 
 
+def counted_on(token: np.ndarray, count: np.ndarray, more: np.ndarray, most: int = _COUNTED) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes and how often each was met, after `more`; the rarest go while there are over `most`."""
+    new, times = np.unique(more, return_counts=True)
+    at = np.searchsorted(token, new)
+    known = at < len(token)
+    known[known] = token[at[known]] == new[known]
+    count[at[known]] += times[known]
+    token = np.insert(token, at[~known], new[~known])
+    count = np.insert(count, at[~known], times[~known])
+    least = 1
+    while len(token) > most:
+        keep = count > least
+        token, count, least = token[keep], count[keep], least + 1
+    return token, count
+
+
 def prefix_length(size: np.ndarray, percent: int, shared: int) -> np.ndarray:
     """Two sets that link share at least `shared` of so many first shingles in any common order."""
     return np.minimum(size, size - (percent * size + 99) // 100 + shared)
@@ -121,7 +137,7 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 75, max_common: int
 
     def surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        counted, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        counted, counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         for b in batches:
             keys, sizes, tokens = [], [], []
             for _, _, row, token, n, key in sets_of(b):
@@ -133,16 +149,12 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 75, max_common: int
                 continue
             key, n = np.concatenate(keys), np.concatenate(sizes)
             yield pa.record_batch({"of": pa.array(np.zeros(len(key), np.int8)), "id": b.column("doc_id"), "key": pa.array(key), "n": pa.array(n.astype(np.int64))})
-            counted, which = np.unique(np.concatenate([counted, *tokens]), return_inverse=True)
-            have = np.bincount(which[: len(counts)], counts, len(counted))
-            counts = (have + np.bincount(which[len(counts) :], minlength=len(counted))).astype(np.int64)
-            if len(counted) > _COUNTED:
-                counted, counts = counted[counts > 1], counts[counts > 1]
+            counted, counts = counted_on(counted, counts, np.concatenate(tokens))
         often = counts >= common_in_task
         one, zero = np.ones(often.sum(), np.int8), np.zeros(often.sum(), np.int64)
-        yield pa.record_batch({"of": pa.array(one), "id": pa.array(zero), "key": pa.array(counted[often].view(np.int64)), "n": pa.array(counts[often])})
+        yield pa.record_batch({"of": pa.array(one), "id": pa.array(zero), "key": pa.array(counted[often].view(np.int64)), "n": pa.array(counts[often].astype(np.int64))})
 
-    survey = staged(rows.mapInArrow(surveyed, "of byte, id long, key long, n long"))
+    survey = staged(rows.mapInArrow(trimmed(surveyed), "of byte, id long, key long, n long"))
     members = survey.where("of = 0").select(F.col("id").alias("doc_id"), "key", "n")
     common = survey.where("of = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(max_common).select("key").toPandas()
     sizes = members.where("n between 1 and 128").groupBy("n").count().orderBy("n").collect()
@@ -172,7 +184,7 @@ def groups(docs: DataFrame, *, size: int = 5, percent: int = 75, max_common: int
                 pairs = (place < prefix_length(size_of, percent, 2)) & ~big
                 yield _subsets(row[pairs], token[pairs], key, n)
 
-    postings = rows.mapInArrow(posted, "token long, key long, packed long")
+    postings = rows.mapInArrow(trimmed(posted), "token long, key long, packed long")
     # Frequent shingles (negative tokens) are combined before they are shuffled and joined back, which
     # adaptive execution can split; the many others are grouped where they meet.
     low, high, many = F.min("key"), F.max("key"), F.count("*")
@@ -249,7 +261,7 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
                 good.append(set_keys(row, token, j - i)[1] == b.column("key").to_numpy()[i:j])
             yield b.select(["key", "text"]).filter(pa.array(np.concatenate(good)))
 
-    texts = rows.join(wanted, "doc_id").select("key", "text").mapInArrow(right_one, "key long, text string").dropDuplicates(["key"])
+    texts = rows.join(wanted, "doc_id").select("key", "text").mapInArrow(trimmed(right_one), "key long, text string").dropDuplicates(["key"])
     side = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +282,7 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
             good = np.concatenate(kept) if kept else np.zeros(0, bool)
             yield b.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compared, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(trimmed(compared), "a long, b long")
 
 
 def representatives(docs: DataFrame) -> DataFrame:

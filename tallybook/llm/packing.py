@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import doc_texts
+from .shared import doc_texts, trimmed
 from .tokens import coder, default_path
 
 SCHEMA = (
@@ -152,4 +152,4 @@ def pack(
         if names:
             yield flush()
 
-    return doc_texts(docs).mapInArrow(packed, SCHEMA)
+    return doc_texts(docs).mapInArrow(trimmed(packed), SCHEMA)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .shared import _ODD, _powers, blocks, grams, like, mix, slices, staged, text_bytes, with_rest, words
+from .shared import _ODD, _powers, blocks, grams, like, mix, slices, staged, text_bytes, trimmed, with_rest, words
 
 ANCHORS = "anchor long, seg long, doc_id long, key long, pos int, left int"
 
@@ -285,22 +285,22 @@ def removals(docs: DataFrame, *, size: int = 35, gram: int = 12, shard_words: in
     row = ["doc_id", "key"]
     of_anchor, of_seg = Window.partitionBy("anchor"), Window.partitionBy("anchor", "seg")
     bare = rows.select("doc_id", "text", "key")
-    places = bare.mapInArrow(listed, ANCHORS).withColumn("met", F.count("*").over(of_anchor)).where("met > 1")
+    places = bare.mapInArrow(trimmed(listed), ANCHORS).withColumn("met", F.count("*").over(of_anchor)).where("met > 1")
     places = places.withColumn("alike", F.min("seg").over(of_anchor) == F.max("seg").over(of_anchor))
     places = places.withColumn("n", F.count("*").over(of_seg)).withColumn("turn", F.row_number().over(of_seg.orderBy("doc_id", "key", "pos")))
     places = staged(places.drop("met"))
     every_window = F.lit((1 << (reach + 1)) - 1)
     same = lambda other: [rows["doc_id"].eqNullSafe(other["doc_id"]), rows["key"] == other["key"]]
     chosen = places.where("turn = 1 and not alike").groupBy(row).agg(F.collect_list(F.struct("anchor", "seg", "n", "pos", "left")).alias("parts"))
-    segments = rows.join(chosen, same(chosen)).select("text", "parts").mapInArrow(cut_out, "anchor long, seg long, n long, left int, words binary")
+    segments = rows.join(chosen, same(chosen)).select("text", "parts").mapInArrow(trimmed(cut_out), "anchor long, seg long, n long, left int, words binary")
     segments = segments.repartition("anchor").sortWithinPartitions("anchor", "seg")
-    masks = segments.mapInArrow(searched, "anchor long, seg long, mask long").where("mask <> 0").groupBy("anchor", "seg").agg(F.max("mask").alias("mask"))
+    masks = segments.mapInArrow(trimmed(searched), "anchor long, seg long, mask long").where("mask <> 0").groupBy("anchor", "seg").agg(F.max("mask").alias("mask"))
     copied = places.where("alike or n > 1").select(*row, "pos", every_window.cast("long").alias("mask"))
     found = places.where("not alike and n = 1").join(masks, ["anchor", "seg"]).select(*row, "pos", "mask").unionByName(copied)
     hits = found.groupBy(row).agg(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "mask")).alias("hits"))
     joined = rows.join(hits, same(hits), "left").select(rows["doc_id"], "text", "rest", "hits")
     schema = StructType([*joined.schema.fields[:3], StructField("n_words", LongType()), StructField("removed", BinaryType())])
-    return joined.mapInArrow(marked, schema)
+    return joined.mapInArrow(trimmed(marked), schema)
 
 
 def kept(text: str, removed: bytes) -> str:
@@ -324,7 +324,7 @@ def digests(removed: DataFrame) -> DataFrame:
                 }
             )
 
-    return removed.drop("rest").mapInArrow(hashed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return removed.drop("rest").mapInArrow(trimmed(hashed), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def shortened(docs: DataFrame) -> DataFrame:
@@ -338,4 +338,4 @@ def shortened(docs: DataFrame) -> DataFrame:
                 texts = [kept(t, x) if 1 in x else t for t, x in pairs]
                 yield pa.record_batch({"doc_id": b.column("doc_id"), "text": pa.array(texts, pa.string()), "rest": b.column("rest")})
 
-    return like(rows.mapInArrow(applied, StructType(rows.schema.fields[:3])), docs)
+    return like(rows.mapInArrow(trimmed(applied), StructType(rows.schema.fields[:3])), docs)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOCK, blocks, doc_texts, mix, ship, text_bytes, words
+from .shared import BLOCK, blocks, doc_texts, mix, ship, text_bytes, trimmed, words
 
 # Words of the second person.
 SECOND_PERSON = (
@@ -257,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexico
     total, bad_total = len(ids), int(ids["toxic"].sum())
     odds = F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5)) - F.lit(float(np.log((bad_total + 0.5) / (total - bad_total + 0.5))))
     found = (
-        texts.mapInArrow(counted, "term long, bad long, n long")
+        texts.mapInArrow(trimmed(counted), "term long, bad long, n long")
         .groupBy("term")
         .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
         .where("bad >= 3 and bad >= 0.5 * n")
@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexico
             x = np.concatenate([np.zeros((0, N_FEATURES)), *(features(data[at[i] : at[j]], at[i : j + 1] - at[i], lexicon) for i, j in blocks(at, _BLOCK))])
             yield pa.record_batch({"y": b.column(1), "key": b.column(2)} | {f"f{i}": pa.array(x[:, i]) for i in range(N_FEATURES)})
 
-    rows = texts.mapInArrow(measured, f"y int, key long, {columns}").toPandas()
+    rows = texts.mapInArrow(trimmed(measured), f"y int, key long, {columns}").toPandas()
     x, y = rows.filter(regex="^f").to_numpy(float), rows["y"].to_numpy(float)
     if len(set(y)) < 2:
         return Model(lexicon, None, (np.zeros(1), np.zeros(1)), float(y.max(initial=0)))
@@ -303,7 +303,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
             yield pa.record_batch({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32))})
 
     rows = doc_texts(docs, held_out(F.col("doc_id").cast("long")).alias("held_out"))
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(trimmed(scored), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
