@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, packing, pii, secrets, substrings, toxicity, vectors
+from . import bpe, chat, jaccard, lexical, negatives, packing, pii, secrets, sql, substrings, toxicity, vectors, warc
 from .shared import read
 
 
@@ -55,9 +56,24 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs)).drop("redacted")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(read(spark, sf_dir, "pages"))
+    history = warc.histories(warc.read_runs(spark, archives))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
