@@ -182,7 +182,7 @@ def hard_negatives(
             out = {"row": [], "positive_score": [], "negative_id": [], "negative_score": []}
             for band in sorted(set(a["bands"])):
                 low, high = -((-least * band) // 100), (most * band) // 100
-                inside = np.flatnonzero((score >= low) & (score <= high))
+                inside = np.flatnonzero((score >= low) & (score <= high) & (ids != a["id"]))
                 best = inside[first(ids[inside], score[inside], negatives)]
                 for name, values in zip(out, ([a["row"]] * len(best), [band] * len(best), ids[best].tolist(), score[best].tolist()), strict=True):
                     out[name] += values

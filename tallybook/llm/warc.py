@@ -178,9 +178,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, captured: Col
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
         F.monotonically_increasing_id().alias("row"),
     )
-    total = rows.agg(F.count("*"), F.sum(F.octet_length("payload"))).first()
+    # Staged, as a row's number has to be the same wherever it is asked for, also after a lost task.
+    rows = staged(rows.withColumns({"sum": F.unhex(F.sha2("payload", 256)), "size": F.octet_length("payload")}))
+    total = rows.agg(F.count("*"), F.sum("size")).first()
     per_file = max(1, FILE_BYTES * total[0] // max(total[1] or 0, 1))
-    rows = rows.withColumns({"sum": F.unhex(F.sha2("payload", 256)), "size": F.octet_length("payload")})
     first = rows.groupBy("sum", "size").agg(F.max(F.struct("page_id", "row")).alias("first"))
     joined = rows.join(first, ["sum", "size"]).select("page_id", "row", "url", "date", "payload", "first.*").toDF(
         "page_id", "row", "url", "date", "payload", "first_page", "first_row"
