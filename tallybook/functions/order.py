@@ -30,8 +30,10 @@ def _before(file: str) -> W:
     return W.partitionBy(file).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
 
 
-def carry_forward(rows: DataFrame, marks: Mapping[str, Column], file: str = "file") -> DataFrame:
-    """Number the rows, and add the latest non-null value of each mark at or before the row.
+def carry_forward(
+    rows: DataFrame, marks: Mapping[str, Column], file: str = "file", counts: Column | None = None
+) -> DataFrame:
+    """Number the rows (only those that ``counts``, if given; others have the number before), and add the latest non-null value of each mark at or before the row.
 
     ``number`` increases in document order over all files; ``number`` modulo
     ``LINES_PER_FILE`` is the row's place in its file, from one. A mark ``m`` adds the
@@ -46,7 +48,8 @@ def carry_forward(rows: DataFrame, marks: Mapping[str, Column], file: str = "fil
     )
     in_chunk = W.partitionBy(file, "chunk").orderBy("pos")
     so_far = in_chunk.rowsBetween(W.unboundedPreceding, 0)
-    placed = marked.withColumn("_place", F.row_number().over(in_chunk).cast("long"))
+    place = F.row_number().over(in_chunk) if counts is None else F.sum(counts.cast("int")).over(so_far)
+    placed = marked.withColumn("_place", place.cast("long"))
     within = placed.select(
         *rows.columns,
         "_place",
@@ -66,7 +69,7 @@ def carry_forward(rows: DataFrame, marks: Mapping[str, Column], file: str = "fil
     # A chunk's last row has what the chunk hands on; it is found in the rows as they are dealt.
     summary = within.groupBy(file, "chunk").agg(
         F.max("_place").alias("_size"),
-        *[F.max_by(f"_within_{name}", "_place").alias(f"_last_{name}") for name in marks],
+        *[F.max_by(f"_within_{name}", "pos").alias(f"_last_{name}") for name in marks],
     )
     earlier = _before(file)
     start = F.col(file) * F.lit(LINES_PER_FILE)

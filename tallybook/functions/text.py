@@ -95,3 +95,16 @@ STATEMENT = (
 
 #: What may follow a statement on its line.
 LINE_END = "[ \\t]*(?:;.*)?$"
+
+#: A line that ends inside the first or second quoted text of its statement.
+TEXT_OPENS = (
+    f"^(?:{_DATE}{_GAP}\\*{_GAP}|include{_GAP}|(?:{_DATE}{_GAP}event|option){_GAP}(?:{_QUOTED}{_GAP})?)"
+    '"[^"]*$'
+)
+#: A header that does so.
+HEADER_OPENS = f"^{_DATE}{_GAP}\\*"
+#: What a line does to a text that is open before it: it ends the statement, holds the whole second
+#: text, or opens that.
+TEXT_ENDS = f'^[^"]*"(?:{_GAP}#[A-Za-z0-9]+(?: #[A-Za-z0-9]+)*)?{LINE_END}'
+TEXT_SECOND = f'^[^"]*"{_GAP}{_QUOTED}{LINE_END}'
+TEXT_AGAIN = f'^[^"]*"{_GAP}"[^"]*$'

@@ -1,8 +1,8 @@
 """Plain-text book lines to typed tables.
 
-A line is one statement. Postings belong to the transaction header that opens their
-unbroken run of lines; "the line that opened the run" is carried across file splits,
-so a file is never gathered in one task.
+A line is one statement, unless a quoted text in it goes on over line ends. Postings belong to
+the transaction header that opens their unbroken run of lines; "the line that opened the run" and
+"inside a quoted text" are carried across file splits, so a file is never gathered in one task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.order import carry_forward
+from tallybook.functions.quotes import LINE, text_events, whole_texts
 from tallybook.functions.text import (
     CUSTOM,
     HEADER,
@@ -48,7 +49,7 @@ def _kind() -> Column:
 
     A line that is a statement up to some point and then goes on, an indented line
     that is no posting, and a quoted text that does not end are rejects. Lines that
-    resemble no statement are ``other`` and carry no meaning.
+    resemble no statement are ``other`` and carry no meaning. Takes whole statements.
     """
     line = F.col("line")
     first = F.substring(F.ltrim(F.translate("line", "\t", " ")), 1, 1)
@@ -64,7 +65,7 @@ def _kind() -> Column:
         .when(indented, "reject")
         .when((word == "") | no_such_day, "other")
         .when(line.rlike(STATEMENT), "reject")
-        .when(word.isin("*", "event") & (quotes % 2 == 1), "reject")
+        .when(word.isin("*", "event", "option", "include") & (quotes % 2 == 1), "reject")
         .otherwise("other")
     )
 
@@ -73,31 +74,52 @@ def scan_text(lines: DataFrame, folder: str | None = None) -> Book:
     """Tables of a book given as ``file_no, chunk, pos, line``.
 
     Statement numbers are line numbers that run on over the files in ``file_no``
-    order. A header without postings keeps its transaction. A posting whose run was
-    not opened by a header is a reject.
+    order; a statement over several lines has the number of its last. A line end inside a quoted text is
+    ``\\n`` in the tables. A header without postings keeps its transaction. A posting whose run was
+    not opened by a header is a reject; a text that never ends is one reject, and reading goes on below it.
 
     Every table is a selection of the classified lines. With ``folder``, a shared
     folder, those are written there once, partitioned by kind of statement, and each
     table reads its own partition; without it, each table scans the text again.
     """
-    kinds = lines.withColumn("kind", _kind())
+    events = text_events(lines, "file_no").withColumns({"kind": F.lit(None).cast("string"), "line": F.lit(None).cast("string")})
+    none = {"text": F.lit(None).cast("boolean"), "starts": F.lit(None).cast("int"), "opener": F.lit(None).cast("string")}
+    kinds = lines.select("file_no", "chunk", (F.col("pos") * 4 + LINE).alias("pos"), "line").withColumns({"kind": _kind(), **none})
+    is_line = F.col("kind").isNotNull()
+    # What lines inside a text look like is put right by the event behind it.
+    opener = F.coalesce("opener", F.when(F.col("kind") != "posting", F.col("kind")))
     placed = carry_forward(
-        kinds, {"opener": F.when(F.col("kind") != "posting", F.col("kind"))}, file="file_no"
-    ).withColumnRenamed("number", "statement_no")
+        kinds.unionByName(events).withColumnsRenamed({"opener": "_opener", "text": "_text"}).withColumnRenamed("_opener", "opener"),
+        {"mark": opener, "text": F.col("_text"), "start": F.col("starts")},
+        file="file_no",
+        counts=is_line,
+    )
+    kind = F.when(F.col("text"), "text").otherwise(F.col("kind")).alias("kind")
+    placed = placed.filter(is_line).select(
+        "file_no", F.col("number").alias("statement_no"), kind, F.col("mark").alias("opener"), F.col("mark_no").alias("opener_no"), "line", "start_no"
+    )
     if folder is not None:
-        placed.select(*_PLACE, "kind", "opener", "opener_no", "line").write.mode(
-            "errorifexists"
-        ).partitionBy("kind").parquet(folder)
+        placed.write.mode("errorifexists").partitionBy("kind").parquet(folder)
         placed = lines.sparkSession.read.parquet(folder)
+    parts = placed.filter(F.col("kind") == "text").select("start_no", "statement_no", "file_no", "line")
+    joined = whole_texts(parts, "start_no", "statement_no", "file_no").withColumns(
+        {
+            "kind": F.when(_kind() == "other", "reject").otherwise(_kind()),
+            "opener": F.lit(None).cast("string"),
+        }
+    )
+    single = placed.filter(F.col("kind") != "text")
+    columns = (*_PLACE, "kind", "opener", "line")
+    whole = single.select(*columns).unionByName(joined.select(*columns))
     return Book(
-        transactions=_transactions(placed),
-        postings=_postings(placed),
-        verifications=_verifications(placed),
-        informationals=_informationals(placed),
-        includes=placed.filter(F.col("kind") == "include").select(
+        transactions=_transactions(whole),
+        postings=_postings(single),
+        verifications=_verifications(single),
+        informationals=_informationals(whole),
+        includes=whole.filter(F.col("kind") == "include").select(
             *_PLACE, _field(INCLUDE, 1).alias("path")
         ),
-        rejects=_rejects(placed),
+        rejects=_rejects(whole),
     )
 
 

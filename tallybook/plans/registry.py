@@ -28,6 +28,7 @@ from tallybook.operators.scan_qfx import scan_qfx
 from tallybook.operators.scan_text import scan_text, transactions_without_postings
 from tallybook.operators.summary import import_summary
 from tallybook.plans import star as S
+from tallybook.plans.books import shared_folder
 from tallybook.plans.star import Star
 from tallybook.sources.lookups import lookup_table
 
@@ -56,8 +57,10 @@ def _holdings(star: Star) -> tuple[DataFrame, DataFrame]:
     return brokerage.import_holdings(S.holdings_rows(star), _owners(star), "2024-01-31", "USD")
 
 
-def _book(star: Star) -> Book:
-    return scan_text(S.book_lines(star))
+def _book(star: Star, tables: int = 1) -> Book:
+    """Staged for several tables, if the session names a folder for it."""
+    keep = tables > 1 and star.spark.conf.get("spark.checkpoint.dir", None)
+    return scan_text(S.book_lines(star), shared_folder(star.spark, "lines") if keep else None)
 
 
 def _qfx(star: Star) -> Book:
@@ -78,7 +81,7 @@ def _reconciled(star: Star) -> DataFrame:
 
 
 def _scanned_postings(star: Star) -> DataFrame:
-    book = _book(star)
+    book = _book(star, tables=2)
     headers = book.transactions.select(F.col("statement_no").alias("transaction_no"), "narration")
     return book.postings.join(headers, "transaction_no").select(
         "narration", "account", "cp_quantity", "cp_commodity", "tc_quantity", "tc_commodity"
@@ -203,7 +206,7 @@ _QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "scan_text_info": lambda s: _book(s).informationals.drop("statement_no"),
     "scan_text_includes": lambda s: _book(s).includes.select("path"),
     "scan_text_rejects": lambda s: _book(s).rejects.select("line", "reason"),
-    "scan_text_empty_headers": lambda s: transactions_without_postings(_book(s)).select(
+    "scan_text_empty_headers": lambda s: transactions_without_postings(_book(s, tables=2)).select(
         "date", "narration", "tags"
     ),
     # bank statements

@@ -28,7 +28,14 @@ class Star:
     def __getattr__(self, table: str) -> DataFrame:
         if table.startswith("_"):
             raise AttributeError(table)
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        rows = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return self._spread(rows) if table in ("lineitem", "orders") else rows
+
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """A table whose files have fewer row groups than there are cores is dealt to all of them:
+        what is derived from a row costs much more than moving its few columns."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _text(*parts: Column | str) -> Column:
@@ -360,7 +367,8 @@ _POSITIONS_PER_CHUNK = 1 << 15
 
 
 def book_lines(star: Star) -> DataFrame:
-    """Both tables above written out, with other statements and faults between them.
+    """Both tables above written out, with other statements and faults between them. Some texts
+    go on over a line end, some never end.
 
     ``pos`` leaves room for a comment after each line; a chunk cuts through
     transactions, as file splits do.
@@ -391,8 +399,9 @@ def book_lines(star: Star) -> DataFrame:
             F.struct(((key * SLOTS + slot) * 2 + after).alias("pos"), text.alias("line")),
         )
 
-    always = F.lit(True)
+    always, broken = F.lit(True), _every("statement_no", 43)
     account = _text("Assets:Customers:C", key)
+    tail = _text('"', F.coalesce(_text(" ", F.col("tags")), F.lit("")))
     others = (
         transactions(star)
         .select(
@@ -400,23 +409,24 @@ def book_lines(star: Star) -> DataFrame:
             F.explode(
                 F.array_compact(
                     F.array(
-                        line(
-                            0,
-                            _text(day, ' * "', F.col("narration"), '"', F.coalesce(_text(" ", F.col("tags")), F.lit(""))),
-                            always,
-                        ),
+                        line(0, _text(day, ' * "', F.when(broken, "Order").otherwise(_text(F.col("narration"), tail))), always),
+                        line(0, _text(F.substring("narration", 7, 1000), tail), broken, after=1),
                         line(5, F.lit("; cut"), _every("statement_no", 53), after=1),
                         line(10, _text(day, " open ", account, " ; new"), _every("statement_no", 3)),
                         line(11, _text(day, " balance ", account, " -", key, ".125 USD"), _every("statement_no", 3, 1)),
-                        line(12, _text(day, ' event "place" "', key, '"'), _every("statement_no", 4)),
-                        line(12, _text('option "title" "', key, '" ; name'), _every("statement_no", 4, 1)),
+                        line(12, _text(day, ' event "place" "', F.when(_every("statement_no", 44), "").otherwise(_text(key, '"'))), _every("statement_no", 4)),
+                        line(12, _text(key, '"'), _every("statement_no", 44), after=1),
+                        line(12, F.when(_every("statement_no", 28, 1), 'option "ti').otherwise(_text('option "title" "', key, '" ; name')), _every("statement_no", 4, 1)),
+                        line(12, _text('tle" "', key, '" ; it is "so'), _every("statement_no", 28, 1), after=1),
                         line(12, _text(day, ' custom "budget" ', key), _every("statement_no", 4, 2)),
                         line(13, _text(day, " open ", account, " USD"), _every("statement_no", 23)),
                         line(13, _text("   stray ", key), _every("statement_no", 29)),
                         line(13, _text("Notes on ", key), _every("statement_no", 31)),
-                        line(14, _text('include "part-', key, '.book"'), _every("statement_no", 37)),
-                        line(14, F.lit("  "), _every("statement_no", 41)),
+                        line(14, _text('include "part-', key, F.when(_every("statement_no", 74), "").otherwise('.book"')), _every("statement_no", 37)),
+                        line(14, F.lit('.book"'), _every("statement_no", 74), after=1),
+                        line(13, F.lit("  "), _every("statement_no", 41), after=1),
                         line(15, _text(day, " close ", account), _every("statement_no", 3, 2)),
+                        line(15, _text(day, ' * "never ends ', key), _every("statement_no", 61), after=1),
                     )
                 )
             ).alias("at"),

@@ -408,21 +408,28 @@ _LINES = "lines AS (SELECT transaction_no // 4096 AS file_no, statement_no * 2 A
     f" UNION ALL SELECT o_orderkey // 4096, (o_orderkey * 16 + {slot}) * 2 + {after} FROM orders WHERE {when}"
     for slot, after, when in [
         (0, 0, "true"),
+        (0, 1, "o_orderkey % 43 = 0"),
         (5, 1, "o_orderkey % 53 = 0"),
         (10, 0, "o_orderkey % 3 = 0"),
         (11, 0, "o_orderkey % 3 = 1"),
         (12, 0, "o_orderkey % 4 < 3"),
+        (12, 1, "o_orderkey % 44 = 0 OR o_orderkey % 28 = 1"),
         (13, 0, "o_orderkey % 23 = 0"),
         (13, 0, "o_orderkey % 29 = 0"),
         (13, 0, "o_orderkey % 31 = 0"),
         (14, 0, "o_orderkey % 37 = 0"),
-        (14, 0, "o_orderkey % 41 = 0"),
+        (14, 1, "o_orderkey % 74 = 0"),
+        (13, 1, "o_orderkey % 41 = 0"),
         (15, 0, "o_orderkey % 3 = 2"),
+        (15, 1, "o_orderkey % 61 = 0"),
     ]
 ) + """),
 numbered AS (SELECT pos, file_no * 68719476736 + row_number() OVER (PARTITION BY file_no ORDER BY pos) AS number
              FROM lines)"""
 
+#: Some narrations go on over a line end.
+_TOLD = """CASE WHEN txn.statement_no % 43 = 0 THEN 'Order' || chr(10) || substr(narration, 7)
+     ELSE narration END AS narration"""
 _DAY = "strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d')"
 
 # --- bank statements ------------------------------------------------------------
@@ -534,10 +541,10 @@ FROM norm WHERE action <> 1 OR commodity IS NOT NULL""",
         "render_verification_rejects": f"""WITH {_VERIF}
 SELECT * FROM norm WHERE action = 1 AND commodity IS NULL""",
         "scan_text_transactions": f"""WITH {_TXN}, {_POST}, {_LINES}
-SELECT number AS statement_no, date, narration, tags
-FROM txn JOIN numbered ON pos = txn.statement_no * 32""",
+SELECT number AS statement_no, date, {_TOLD}, tags
+FROM txn JOIN numbered ON pos = txn.statement_no * 32 + CASE WHEN txn.statement_no % 43 = 0 THEN 1 ELSE 0 END""",
         "scan_text_postings": f"""WITH {_TXN}, {_POST}
-SELECT narration, account, cp_quantity, cp_commodity,
+SELECT {_TOLD}, account, cp_quantity, cp_commodity,
        coalesce(tc_quantity, cp_quantity) AS tc_quantity, coalesce(tc_commodity, cp_commodity) AS tc_commodity
 FROM post JOIN txn ON transaction_no = txn.statement_no
 WHERE transaction_no % 53 <> 0 OR post.statement_no % 16 <= 5""",
@@ -553,21 +560,26 @@ FROM orders JOIN numbered
 SELECT o_orderkey // 4096 AS file_no,
        CASE WHEN o_orderkey % 4 <> 1 THEN CAST(o_orderdate AS DATE) END AS date,
        CASE o_orderkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 5 END AS action,
-       CASE o_orderkey % 4 WHEN 0 THEN 'place' WHEN 1 THEN 'title' END AS attribute,
+       CASE WHEN o_orderkey % 28 = 1 THEN 'ti' || chr(10) || 'tle'
+            WHEN o_orderkey % 4 = 0 THEN 'place' WHEN o_orderkey % 4 = 1 THEN 'title' END AS attribute,
        CASE WHEN o_orderkey % 4 = 2 THEN ' "budget" ' || o_orderkey
+            WHEN o_orderkey % 44 = 0 THEN chr(10) || o_orderkey
             ELSE CAST(o_orderkey AS VARCHAR) END AS value
 FROM orders WHERE o_orderkey % 4 <> 3""",
         "scan_text_includes": """
-SELECT 'part-' || o_orderkey || '.book' AS path FROM orders WHERE o_orderkey % 37 = 0""",
+SELECT 'part-' || o_orderkey || CASE WHEN o_orderkey % 74 = 0 THEN chr(10) ELSE '' END || '.book' AS path
+FROM orders WHERE o_orderkey % 37 = 0""",
         "scan_text_rejects": f"""WITH {_POST}
 SELECT {_RAW_LINE} AS line, 'posting without a transaction' AS reason FROM post WHERE NOT {_KEPT}
 UNION ALL
 SELECT {_DAY} || ' open Assets:Customers:C' || o_orderkey || ' USD', 'not a complete statement'
 FROM orders WHERE o_orderkey % 23 = 0
 UNION ALL
-SELECT '   stray ' || o_orderkey, 'not a complete statement' FROM orders WHERE o_orderkey % 29 = 0""",
+SELECT '   stray ' || o_orderkey, 'not a complete statement' FROM orders WHERE o_orderkey % 29 = 0
+UNION ALL
+SELECT {_DAY} || ' * "never ends ' || o_orderkey, 'not a complete statement' FROM orders WHERE o_orderkey % 61 = 0""",
         "scan_text_empty_headers": f"""WITH {_TXN}, {_POST}
-SELECT date, narration, tags FROM txn WHERE NOT EXISTS (
+SELECT date, {_TOLD}, tags FROM txn WHERE NOT EXISTS (
   SELECT 1 FROM post WHERE post.transaction_no = txn.statement_no AND {_KEPT.replace("statement_no", "post.statement_no")})""",
         "qfx_transactions": f"""WITH {_BANK}
 SELECT number AS statement_no, CAST(0 AS BIGINT) AS file_no, date, narration,

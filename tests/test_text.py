@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from tallybook.functions.order import LINES_PER_FILE
 from tallybook.functions.text import resolve_path
 from tallybook.operators.complete import complete_transactions
 from tallybook.operators.render import render_transactions
@@ -119,6 +120,117 @@ def test_runs_and_numbers_hold_across_file_splits(spark, tmp_path, bag):
     assert sorted(got) == expected
 
 
+LONG_TEXTS = """\
+2024-01-01 * "First
+  Assets:NotAPosting 1 USD
+
+; no comment
+end" #tag ; "quoted" comment
+  Assets:A 1 USD
+  Assets:B
+2024-01-02 event "place
+of" "here
+and there"
+2024-01-03 event "whole" "
+here"
+option "ti
+tle" "value" ; odd " quote
+include "part
+.book"
+2024-01-04 * "
+"
+  Assets:C
+2024-01-05 * "never ends
+2024-01-06 * "Whole" #a
+  Assets:D
+; a comment with one quote "
+2024-13-01 * "no such day
+2024-01-07 * "Also whole"
+  Assets:E
+2024-01-08 event "wrong
+end" #tag
+  Assets:Stray
+2024-01-09 * "a "b" c
+2024-01-10 close Assets:D
+2024-01-11 * "to the end
+of the book
+"""
+
+
+@pytest.mark.parametrize("size", [7, 40, 100_000])
+def test_texts_over_line_ends(spark, tmp_path, bag, size):
+    (tmp_path / "texts.book").write_text(LONG_TEXTS)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = read_lines(spark, str(tmp_path / "texts.book"))
+        assert (lines.select("chunk").distinct().count() > 20) == (size < 30)
+        book = scan_text(lines.withColumn("file_no", F.lit(0).cast("long")))
+        got = {t: bag(getattr(book, t)) for t in ("transactions", "informationals", "includes")}
+        postings, rejects = bag(book.postings, "statement_no", "transaction_no", "account"), bag(book.rejects, "statement_no", "line", "reason")
+        closed = bag(book.verifications, "statement_no", "account")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got["transactions"]) == [
+        (5, 0, date(2024, 1, 1), "First\n  Assets:NotAPosting 1 USD\n\n; no comment\nend", "#tag"),
+        (18, 0, date(2024, 1, 4), "\n", None),
+        (21, 0, date(2024, 1, 6), "Whole", "#a"),
+        (25, 0, date(2024, 1, 7), "Also whole", None),
+    ]
+    assert sorted(postings) == [(6, 5, "Assets:A"), (7, 5, "Assets:B"), (19, 18, "Assets:C"), (22, 21, "Assets:D"), (26, 25, "Assets:E")]
+    assert sorted(got["informationals"], key=lambda r: r[0]) == [
+        (10, 0, date(2024, 1, 2), 3, "place\nof", "here\nand there"),
+        (12, 0, date(2024, 1, 3), 3, "whole", "\nhere"),
+        (14, 0, None, 4, "ti\ntle", "value"),
+    ]
+    assert got["includes"] == [(16, 0, "part\n.book")]
+    assert sorted(rejects) == [
+        (20, '2024-01-05 * "never ends', "not a complete statement"),
+        (28, '2024-01-08 event "wrong\nend" #tag', "not a complete statement"),
+        (29, "  Assets:Stray", "posting without a transaction"),
+        (30, '2024-01-09 * "a "b" c', "not a complete statement"),
+        (32, '2024-01-11 * "to the end', "not a complete statement"),
+    ]
+    assert closed == [(31, "Assets:D")]
+
+
+def test_states_against_a_plain_machine(spark):
+    """Random lines, read one after the other, against the running sums."""
+    import random
+
+    from tallybook.functions.quotes import text_events
+
+    rng = random.Random(4)
+    kinds = ['2024-01-01 * "a', '2024-01-01 * "a"', '2024-01-01 * "', 'b"', 'c" "d', 'plain', '"', 'x" "y"', 'no" end"', '2024-01-01 event "p" "q', "; comment"]
+    ends = {'b"': "end", 'c" "d': "again", '"': "end", 'x" "y"': "second", '2024-01-01 * "': "end"}
+    opening = {'2024-01-01 * "a', '2024-01-01 * "', '2024-01-01 event "p" "q'}
+    rows, expected = [], set()
+    for file in range(30):
+        book = [rng.choice(kinds) for _ in range(60)]
+        following = [next((ends.get(t, "no") for t in book[i + 1 :] if '"' in t), "no") for i in range(60)]
+        is_open = False
+        for i, text in enumerate(book):
+            inside = is_open and (ends.get(text, "no") if '"' in text else following[i]) != "no"
+            if '"' in text:
+                goes_on = ends.get(text) == "again" if inside else text in opening
+                if inside and not (goes_on and following[i] != "no"):
+                    expected.add((file, i, "last"))
+                if not inside and goes_on and following[i] != "no":
+                    expected.add((file, i, "first"))
+                is_open = goes_on
+            rows.append((file, i // rng.choice([1, 7]) if file % 2 else i // 9, i, text))
+    for n, row in enumerate(rows):  # chunks of a file have to follow its lines
+        if n and rows[n - 1][0] == row[0] and rows[n - 1][1] > row[1]:
+            rows[n] = (row[0], rows[n - 1][1], *row[2:])
+    lines = spark.createDataFrame(rows, "file_no long, chunk long, pos long, line string")
+    got = sorted((r.file_no, r.pos, r.text) for r in text_events(lines, "file_no").collect())
+    # Where a text goes on behind an end, that is no end.
+    ons = {(f, p // 4) for f, p, _ in got if p % 4 == 3}
+    found = {(f, p // 4, "first") for f, p, _ in got if p % 4 == 0} | {(f, p // 4, "last") for f, p, text in got if not text and (f, p // 4) not in ons}
+    assert found == expected
+
+
 def test_includes_are_read_once_in_reading_order(spark, tmp_path, bag):
     (tmp_path / "sub dir").mkdir()
     main, one, two, three = (
@@ -134,11 +246,12 @@ def test_includes_are_read_once_in_reading_order(spark, tmp_path, bag):
     files = included_files(spark, str(main))
     assert [re.sub(".*/", "", f) for f in files] == ["main.book", "one+1.book", "two.book", "three.book"]
     book = books.text_book(spark, str(main))
+    # A number holds the file and the line's place in it.
     assert sorted(bag(book.verifications, "statement_no", "file_no", "account")) == [
         (2, 0, "Assets:M"),
-        (4, 1, "Assets:One"),
-        (7, 2, "Assets:Two"),
-        (9, 3, "Assets:Three"),
+        (LINES_PER_FILE + 1, 1, "Assets:One"),
+        (2 * LINES_PER_FILE + 2, 2, "Assets:Two"),
+        (3 * LINES_PER_FILE + 2, 3, "Assets:Three"),
     ]
     assert len(bag(book.includes, "path")) == 5
 
