@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOCK, blocks, doc_texts, mix, ship, text_bytes, trimmed, words
+from .shared import BLOCK, blocks, doc_texts, mix, ship, staged, text_bytes, trimmed, words
 
 # Words of the second person.
 SECOND_PERSON = (
@@ -222,12 +221,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexicon_terms: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexicon_terms: int = 400, parts: int = 10) -> Model:
     """Learns lexicon, trees and calibration from labelled documents outside the held-out fold.
 
     The sample, at most `sample_rows` labelled ids by a hash of the id, is the only bound: its features
-    (a few MB) are fitted in the driver. A repeated id counts as toxic if any of its rows is. Null ids
-    and null labels are not learned from; without two classes the score is constant.
+    (a few MB) are fitted in the driver. The fit is crossed: the sample is dealt into `parts` by a hash of
+    the id; each part's features use a lexicon learned from the others, and the scores that are calibrated are
+    those of trees learned from the others. A repeated id counts as toxic if any of its rows is, and its row with the smallest text hash is
+    the one learned from. Null ids and null labels are not learned from; without two classes the score is constant.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
@@ -235,59 +236,68 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexico
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).toPandas()
     if ids["toxic"].nunique() < 2:
         return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), None, (np.zeros(1), np.zeros(1)), float(ids["toxic"].max() if len(ids) else 0))
-    bounded = spark.createDataFrame(ids).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    texts = doc_texts(docs).join(F.broadcast(bounded), "doc_id").select("text", "toxic", "doc_id")
+    ids["part"] = (mix(ids["doc_id"].to_numpy(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    bounded = spark.createDataFrame(ids).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.col("part").cast("int").alias("part"))
+    texts = doc_texts(docs).join(F.broadcast(bounded), "doc_id").withColumn("hash", F.xxhash64("text"))
+    texts = texts.groupBy("doc_id").agg(*(F.min_by(c, "hash").alias(c) for c in ("text", "toxic", "part"))).select("text", "toxic", "part")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = text_bytes(b.column(0))
-            toxic = b.column(1).to_numpy()
+            toxic, part = b.column(1).to_numpy(), b.column(2).to_numpy()
             for i, j in blocks(at, _BLOCK):
-                part, ends = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                if not len(part):
+                some, ends = data[at[i] : at[j]], at[i : j + 1] - at[i]
+                if not len(some):
                     continue
-                _, _, whole, begin, rows, _, _ = _terms(part, ends)
+                _, _, whole, begin, rows, _, _ = _terms(some, ends)
                 term = np.concatenate([whole, begin.ravel()])
                 row = np.tile(rows, 1 + len(PREFIXES))
                 pair = np.unique(np.stack([term, row.astype(np.uint64)], 1)[term != 0], axis=0)
-                term, where, n = np.unique(pair[:, 0], return_inverse=True, return_counts=True)
-                bad = np.bincount(where, toxic[i:j][pair[:, 1].astype(np.int64)], len(term))
-                yield pa.record_batch({"term": pa.array(term.view(np.int64)), "bad": pa.array(bad.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    total, bad_total = len(ids), int(ids["toxic"].sum())
-    odds = F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5)) - F.lit(float(np.log((bad_total + 0.5) / (total - bad_total + 0.5))))
-    found = (
-        texts.mapInArrow(trimmed(counted), "term long, bad long, n long")
-        .groupBy("term")
-        .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-        .where("bad >= 3 and bad >= 0.5 * n")
-        .select("term", odds.alias("weight"))
-        .where("weight > 2")
-        .orderBy(F.desc(F.col("weight")), "term")
-        .limit(lexicon_terms)
-        .toPandas()
-    )
-    term = found["term"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(term)
-    lexicon = Lexicon(term[order], found["weight"].to_numpy(float)[order])
+                row = pair[:, 1].astype(np.int64)
+                for p in np.unique(part[i:j]).tolist():
+                    own = part[i:j][row] == p
+                    term, where, n = np.unique(pair[own, 0], return_inverse=True, return_counts=True)
+                    bad = np.bincount(where, toxic[i:j][row[own]], len(term)).astype(np.int64)
+                    yield pa.record_batch({"term": pa.array(term.view(np.int64)), "part": pa.array(np.full(len(term), p, np.int32)), "bad": pa.array(bad), "n": pa.array(n.astype(np.int64))})
+
+    sums = [F.sum(F.when(F.col("part") != p, F.col(c)).otherwise(0)).alias(f"{c}{p}") for p in range(parts) for c in ("bad", "n")]
+    # -1: nothing is left out.
+    counts = texts.mapInArrow(trimmed(counted), "term long, part int, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad-1"), F.sum("n").alias("n-1"), *sums)
+    counts = staged(counts.where("`bad-1` >= 3"))
+
+    def lexicon(without: int) -> Lexicon:
+        used = ids[ids["part"] != without]
+        bad_total, total = int(used["toxic"].sum()), len(used)
+        bad, n = F.col(f"bad{without}"), F.col(f"n{without}")
+        odds = F.log((bad + 0.5) / (n - bad + 0.5)) - F.lit(float(np.log((bad_total + 0.5) / (total - bad_total + 0.5))))
+        found = counts.where((bad >= 3) & (bad >= 0.5 * n)).select("term", odds.alias("weight")).where("weight > 2")
+        found = found.orderBy(F.desc("weight"), "term").limit(lexicon_terms).toPandas()
+        term = found["term"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(term)
+        return Lexicon(term[order], found["weight"].to_numpy(float)[order])
+
+    lexicons = [lexicon(p) for p in range(parts)]
     columns = ", ".join(f"f{i} double" for i in range(N_FEATURES))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = text_bytes(b.column(0))
-            x = np.concatenate([np.zeros((0, N_FEATURES)), *(features(data[at[i] : at[j]], at[i : j + 1] - at[i], lexicon) for i, j in blocks(at, _BLOCK))])
-            yield pa.record_batch({"y": b.column(1), "key": b.column(2)} | {f"f{i}": pa.array(x[:, i]) for i in range(N_FEATURES)})
-
-    rows = texts.mapInArrow(trimmed(measured), f"y int, key long, {columns}").toPandas()
-    x, y = rows.filter(regex="^f").to_numpy(float), rows["y"].to_numpy(float)
+            for p in sorted(set(b.column("part").to_pylist())):
+                own = b.filter(pa.array(b.column("part").to_numpy() == p))
+                data, at = text_bytes(own.column("text"))
+                x = np.concatenate([features(data[at[i] : at[j]], at[i : j + 1] - at[i], lexicons[p]) for i, j in blocks(at, _BLOCK)])
+                yield pa.record_batch({"y": own.column("toxic"), "part": own.column("part")} | {f"f{i}": pa.array(x[:, i]) for i in range(N_FEATURES)})
+
+    rows = texts.mapInArrow(trimmed(measured), f"y int, part int, {columns}").toPandas().sort_values([f"f{i}" for i in range(N_FEATURES)])
+    x, y, part = rows.filter(regex="^f").to_numpy(float), rows["y"].to_numpy(float), rows["part"].to_numpy()
+    whole = lexicon(-1)
     if len(set(y)) < 2:
-        return Model(lexicon, None, (np.zeros(1), np.zeros(1)), float(y.max(initial=0)))
-    fold = mix(rows["key"].to_numpy(np.int64).view(np.uint64)) % np.uint64(5) == 0
-    if len(set(y[~fold])) < 2 or len(set(y[fold])) < 2:
-        fold = np.zeros(len(y), bool)
-    trees = fit_trees(x[~fold], y[~fold])
-    use = fold if fold.any() else ~fold
-    return Model(lexicon, trees, isotonic(trees.raw(x[use]), y[use]))
+        return Model(whole, None, (np.zeros(1), np.zeros(1)), float(y.max(initial=0)))
+    trees = fit_trees(x, y)
+    raw = trees.raw(x)
+    for p in range(parts):
+        if len(set(y[part != p])) == 2:
+            raw[part == p] = fit_trees(x[part != p], y[part != p]).raw(x[part == p])
+    return Model(whole, trees, isotonic(raw, y))
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
@@ -307,12 +317,15 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
 
 
 def accepted(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
-    """The documents, with all their columns, whose score is below the threshold."""
+    """The documents, with all their columns, whose score is below the threshold.
+
+    Null text is scored as an empty one and stays null; of repeated rows each is judged by itself.
+    """
     ship(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        data, at = text_bytes(pa.array(texts, pa.large_string(), from_pandas=True))
-        return pd.Series(np.concatenate([np.zeros(0), *(model.scores(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in blocks(at, _BLOCK))]))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        data, at = text_bytes(texts)
+        return pa.array(np.concatenate([np.zeros(0), *(model.scores(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in blocks(at, _BLOCK))]))
 
     return docs.where(scored(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
