@@ -13,7 +13,7 @@ from .shared import _ODD, _powers, blocks, components, doc_texts, gram_rows, gra
 
 LIST, NEAR, SUBSET = 0, 1, 2  # kinds of postings
 #: Shingles a task counts at a time to find common ones; beyond it those met least are forgotten.
-_COUNTED = 3_000_000
+_COUNTED = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -27,7 +27,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarra
     count = np.diff(before)
     short = np.flatnonzero((count > 0) & (count < size))
     if len(short):
-        powers, inverse = _powers(max(20, len(word).bit_length()))
+        powers, inverse = _powers(len(word).bit_length())
         total = np.zeros(len(word) + 1, np.uint64)
         np.cumsum(word * powers[: len(word)], out=total[1:])
         first, last = before[:-1][short], before[1:][short]
@@ -102,11 +102,6 @@ def boundary(sizes: list[tuple[int, int]], percent: int, *, scan_cost: float = 4
     return int(np.argmin(costs))
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def groups(docs: DataFrame, *, size: int = 5, percent: int = 75, max_common: int = 500_000, common_in_task: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import hashlib
 import tempfile
 import uuid
 import zipfile
@@ -14,7 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds the memory of a task.
@@ -110,10 +109,6 @@ def trimmed(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return run
 
 
-def hex_digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each row starts (one more than rows)."""
     if isinstance(column, pa.ChunkedArray):
@@ -160,9 +155,21 @@ def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 
 
-@functools.lru_cache(maxsize=2)
+#: Powers that are kept between calls; workers live on, and longer texts are rare.
+_KEPT = 19
+
+
+@functools.cache
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _new_powers(_KEPT)
+
+
 def _powers(exponent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse modulo 2**64."""
+    """At least 2**exponent powers of the odd base and of its inverse modulo 2**64."""
+    return _kept_powers() if exponent <= _KEPT else _new_powers(exponent)
+
+
+def _new_powers(exponent: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << exponent
     inverse = pow(int(_ODD), -1, 1 << 64)
     out = []
@@ -202,7 +209,7 @@ def words(
     begins[inner] |= solid[inner]
     ends[inner - 1] |= solid[inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    powers, inverse = _powers(max(20, int(n).bit_length()))
+    powers, inverse = _powers(int(n).bit_length())
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_byte_values()[data] * powers[:n], out=total[1:])
     return start, end, mix((total[end] - total[start]) * inverse[start]), np.searchsorted(start, at)
@@ -270,7 +277,3 @@ def _fingerprint(links: DataFrame) -> tuple:
         F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))
     ).first()
     return tuple(row)
-
-
-def spans_column(spans: Column) -> Column:
-    return F.array_join(spans, ",")

@@ -157,7 +157,7 @@ def _anchors(data: np.ndarray, at: np.ndarray, size: int, gram: int):
     p = np.flatnonzero((_slide(padded, reach + 1, np.maximum)[: len(g)] == g) & fits(gram))
     row = row_of[p]
     first, last = np.maximum(p - reach, before[row]), np.minimum(p + size, before[row + 1])
-    powers, inverse = _powers(max(20, len(word).bit_length()))
+    powers, inverse = _powers(len(word).bit_length())
     total = np.zeros(len(word) + 1, np.uint64)
     np.cumsum(word * powers[: len(word)], out=total[1:])
     seg = mix((total[last] - total[first]) * inverse[first] + (p - first).astype(np.uint64) * _ODD + (last - first).astype(np.uint64))
