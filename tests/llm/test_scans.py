@@ -88,7 +88,7 @@ def test_network_finds_what_the_patterns_miss():
     for i in range(600):
         text = f"some words here {key(24) if i % 2 else word()} and more"
         start = text.index("here ") + 5
-        windows.append(secrets.window(text, start, text.index(" and")))
+        windows += secrets.windows(text, start, text.index(" and"))
         y.append(i % 2)
     net = secrets.train(secrets.encode(windows), np.array(y, float))
     assert ((net.chance(secrets.encode(windows)) >= net.threshold) == np.array(y)).mean() > 0.97
@@ -97,6 +97,31 @@ def test_network_finds_what_the_patterns_miss():
     assert secrets.redact(text, secrets.spans(text, [], net)) == "x [secret] y"
 
 
+def test_candidates_know_every_span_over_them():
+    text = "password=" + "k" * 24 + "." + ".".join("0123456789abcdef01234567" for _ in range(6)) + " and " + "Zm9vYmFyYmF6cXV4" + " end"
+    base = secrets.base_spans(text)
+    found = list(secrets.candidates(text, base))
+    assert found[0] == (0, 33, True)
+    for start, end, hit in found:
+        assert hit == any(a < end and b > start for _, a, b in base)
+    assert [hit for _, _, hit in found] == [True] * 7 + [False]
+
+
+def test_long_candidates_are_seen_whole():
+    text = "x " + "ab" * 100 + "Q9" + " y"
+    seen = secrets.windows(text, 2, 204)
+    inner = [w[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE] for w in seen]
+    assert "".join(inner[:-1]) + inner[-1][-2:] == text[2:204] and inner[-1].endswith("Q9") and len({len(w) for w in seen}) == 1
+    assert secrets.windows("k" * 16, 0, 16) == ["\0" * 24 + "k" * 16 + "\0" * 24 + "\0" * 8]
+
+
+def test_recall_is_kept_or_the_network_refused():
+    rng = np.random.default_rng(2)
+    noise = secrets.encode(["".join(rng.choice(list("abcdef"), secrets.WIDTH)) for _ in range(400)])
+    net = secrets.train(noise, rng.integers(0, 2, 400).astype(float))
+    assert net.recall in (0.0, None) or (net.recall >= 0.98 and net.threshold >= 0.5)
+
+
 def test_secrets_keep_documents(spark, docs, no_docs):
     net = secrets.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     assert net is not None
