@@ -40,7 +40,7 @@ def cores(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
     last = np.searchsorted(safe, bounds[1:], "right") - 1
     some = last > first
     start, stop = safe[np.minimum(first[some], len(safe) - 1)], safe[last[some]]
-    powers, inverse = _powers(max(20, n.bit_length()))
+    powers, inverse = _powers(n.bit_length())
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_byte_values()[data] * powers[:n], out=total[1:])
     row = np.searchsorted(at, start, "right") - 1

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -164,7 +164,10 @@ def _anchors(data: np.ndarray, at: np.ndarray, size: int, gram: int):
     return g[p].view(np.int64), seg.view(np.int64), row, p - before[row], p - first
 
 
-def removals(docs: DataFrame, *, size: int = 35, gram: int = 12, shard_words: int = 400_000) -> DataFrame:
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def removals(docs: DataFrame, *, size: int = 35, gram: int = 12, shard_words: int = 400_000, then: tuple[Task, list[str]] | None = None) -> DataFrame:
     """doc_id, text, rest (the other columns as one struct), n_words, removed (a byte per word) of every
     document.
 
@@ -177,7 +180,8 @@ def removals(docs: DataFrame, *, size: int = 35, gram: int = 12, shard_words: in
     4. Every occurrence takes its segment's windows, and its document loses the words they cover.
 
     Null text is empty: no words. Short texts keep all. Repeated rows count as places of their own. An
-    empty table gives none; other columns are ignored.
+    empty table gives none; other columns are ignored. `then` is a task that goes on with these rows in the same
+    Python worker, and the columns it leaves.
     """
     rows = with_rest(docs).withColumn("key", F.xxhash64("doc_id", "text"))
     reach = size - gram
@@ -300,7 +304,10 @@ def removals(docs: DataFrame, *, size: int = 35, gram: int = 12, shard_words: in
     hits = found.groupBy(row).agg(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "mask")).alias("hits"))
     joined = rows.join(hits, same(hits), "left").select(rows["doc_id"], "text", "rest", "hits")
     schema = StructType([*joined.schema.fields[:3], StructField("n_words", LongType()), StructField("removed", BinaryType())])
-    return joined.mapInArrow(trimmed(marked), schema)
+    if then is None:
+        return joined.mapInArrow(trimmed(marked), schema)
+    task, left = then
+    return joined.mapInArrow(trimmed(lambda batches: task(marked(batches))), StructType([schema[c] for c in left]))
 
 
 def kept(text: str, removed: bytes) -> str:
@@ -328,8 +335,8 @@ def digests(removed: DataFrame) -> DataFrame:
 
 
 def shortened(docs: DataFrame) -> DataFrame:
-    """All documents with all their columns; texts that lose words become the kept ones, joined by spaces."""
-    rows = removals(docs)
+    """All documents with all their columns; texts that lose words become the kept ones, joined by spaces.
+    Null text becomes empty."""
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,4 +345,4 @@ def shortened(docs: DataFrame) -> DataFrame:
                 texts = [kept(t, x) if 1 in x else t for t, x in pairs]
                 yield pa.record_batch({"doc_id": b.column("doc_id"), "text": pa.array(texts, pa.string()), "rest": b.column("rest")})
 
-    return like(rows.mapInArrow(trimmed(applied), StructType(rows.schema.fields[:3])), docs)
+    return like(removals(docs, then=(applied, ["doc_id", "text", "rest"])), docs)
