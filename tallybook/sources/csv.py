@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.functions.order import numbered
-from tallybook.sources.files import with_file_numbers
+from tallybook.sources.files import first_lines, with_places
 
 # Header names of each export, and the column names used here.
 US_COLUMNS = {
@@ -86,19 +85,11 @@ HOLDINGS_COLUMNS = {
 }
 
 
-def _headers(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """The files of each header. One row per file comes to the driver, which lists them anyway."""
-    lines = spark.read.text(paths).select(
-        F.input_file_name().alias("path"),
-        F.col("_metadata.file_block_start").alias("chunk"),
-        F.monotonically_increasing_id().alias("pos"),
-        "value",
-    )
-    first = lines.filter(F.col("chunk") == 0).groupBy("path").agg(F.min_by("value", "pos").alias("line"))
+def _headers(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header."""
     found: dict[tuple[str, ...], list[str]] = {}
-    for row in first.orderBy("path").collect():
-        header = next(csv.reader([row["line"].removeprefix("\ufeff")]), [])
-        found.setdefault(tuple(header), []).append(row["path"])
+    for path, line in sorted(first_lines(spark, files)):
+        found.setdefault(tuple(next(csv.reader([line]), [])), []).append(path)
     return found
 
 
@@ -114,11 +105,11 @@ def read_export(
     Adds ``path``, ``file`` (its number), ``chunk`` and ``pos`` (document order), ``row_no``
     (see ``functions.order``: from the file and the row's place in it, however the file was split)
     and ``malformed`` (wrong number of fields). ``multiline`` lets a quoted cell hold line
-    breaks, at the price of one task per file. ``folder``, a new shared one, keeps the numbered
+    breaks, at the price of one task per file. Rows are numbered where they are read. ``folder``, a new shared one, keeps the numbered
     rows, so that several tables cost one scan.
     """
-    headers = _headers(spark, paths)
-    parts, files = [], []
+    headers = _headers(spark, spark.read.text(paths).inputFiles())
+    parts = []
     for header, of_header in headers.items():
         absent = [name for name in columns if name not in header]
         if absent:
@@ -134,22 +125,19 @@ def read_export(
             .option("columnPruning", False)
             .csv(paths if len(headers) == 1 else [unquote(path) for path in of_header])
         )
-        files += scanned.inputFiles()
-        parts.append(
-            scanned.select(
-                F.input_file_name().alias("path"),
-                F.col("_metadata.file_block_start").alias("chunk"),
-                F.monotonically_increasing_id().alias("pos"),
-                *[F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(ours) for name, ours in columns.items()],
-                F.col("_malformed").isNotNull().alias("malformed"),
-            )
+        placed = scanned.select(
+            F.input_file_name().alias("path"),
+            F.col("_metadata.file_block_start").alias("chunk"),
+            F.monotonically_increasing_id().alias("pos"),
+            *[F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(ours) for name, ours in columns.items()],
+            F.col("_malformed").isNotNull().alias("malformed"),
         )
+        parts.append(with_places(placed, sorted(file for files in headers.values() for file in files), "row_no", scanned))
     if not parts:
         raise ValueError("the export has no header")
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    rows = numbered(with_file_numbers(rows, files)).withColumnRenamed("number", "row_no")
     if folder is not None:
         rows.write.mode("errorifexists").parquet(folder)
         rows = spark.read.parquet(folder)

@@ -34,5 +34,5 @@ def read_tags(
             F.monotonically_increasing_id().alias("pos"),
             token.alias("token"),
         ),
-        scanned.inputFiles(),
+        sorted(scanned.inputFiles()),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions.text import INCLUDE, LINE_END, resolve_path
+from tallybook.sources.files import with_file_numbers
 
 
 def _plain_path() -> Column:
@@ -92,7 +93,4 @@ def read_book_lines(spark: SparkSession, path: str) -> DataFrame:
     A line of a file that has no number stops the job: it would be lost otherwise.
     """
     files = included_files(spark, path)
-    numbers = spark.createDataFrame(list(zip(files, range(len(files)))), "file string, _no long")
-    absent = F.raise_error(F.concat(F.lit("a file without a number: "), F.col("file")))
-    numbered = read_lines(spark, files).join(numbers, "file", "left")
-    return numbered.withColumn("file_no", F.coalesce("_no", absent.cast("long"))).drop("_no")
+    return with_file_numbers(read_lines(spark, files), files, path="file", into="file_no")

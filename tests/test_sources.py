@@ -10,6 +10,9 @@ from tallybook.functions.order import LINES_PER_FILE, carry_forward, ordinal
 from tallybook.model import RAW
 from tallybook.plans import books, registry
 from tallybook.plans.star import Star
+from tallybook.sources.csv import read_activities
+from tallybook.sources.qfx import read_tags
+from tallybook.sources.text import read_book_lines
 
 HEAD = "Processed,Settled,Tran Types,Description,Price,Quantity,Amount\n"
 OTHER = "Processed,Settled,Tran Types,Description,Quantity,Price,Amount\n"
@@ -62,6 +65,59 @@ def test_keys_do_not_depend_on_splits(spark, tmp_path, kind):
     assert keys == used and len(keys) == (41 if kind == "csv" else 300)
 
 
+def plan_of(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_numbered_where_they_are_read(spark, tmp_path):
+    """Only the counts of splits move; no exchange holds a row's columns."""
+    paths = activity_files(tmp_path, n=400)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = read_activities(spark, paths)
+        got = sorted((r.file, r.row_no, r.quantity) for r in rows.collect())
+        plan = plan_of(rows)
+        tags = plan_of(read_tags(spark, paths))
+        lines = plan_of(read_book_lines(spark, paths[0]))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(0, i + 1, str(i + 1)) for i in range(400)] + [(1, LINES_PER_FILE + 1, "7")]
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+    assert moved and not any("description" in line or "hashpartitioning(path, 4), REPARTITION" in line for line in moved)
+    assert "SortMergeJoin" not in plan
+    for other in (tags, lines):
+        assert "hashpartitioning" not in other
+
+
+def test_many_paths_are_merged(spark, monkeypatch):
+    from tallybook.sources import files
+
+    names = [f"hdfs://store/folder/{i:06d}.csv" for i in range(200_000)]
+    rows = spark.createDataFrame([(names[i], i) for i in range(0, 200_000, 1000)], "path string, i long")
+    merged = files.with_file_numbers(rows, names)
+    assert all(r.file == r.i for r in merged.collect())
+    assert "BroadcastHashJoin" not in merged._jdf.queryExecution().sparkPlan().toString()
+    few = files.with_file_numbers(rows.limit(5), names[:10_000])
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().sparkPlan().toString()
+    with pytest.raises(Exception, match="no such file"):
+        files.with_file_numbers(rows, names[:10]).collect()
+
+
+def test_headers_come_from_the_first_bytes(spark, tmp_path):
+    from tallybook.sources.files import _scanned_first_lines, first_lines
+
+    (tmp_path / "a b.csv").write_bytes(b"\xef\xbb\xbfOne,Two\r\n" + b"x" * 100_000)
+    (tmp_path / "c.csv").write_bytes(b"")
+    (tmp_path / "d.csv").write_bytes(b"only")
+    found = spark.read.text(str(tmp_path)).inputFiles()
+    got = {path.rsplit("/")[-1]: line for path, line in first_lines(spark, found, per_task=1)}
+    assert got == {"a%20b.csv": "One,Two", "d.csv": "only"}
+    assert {line for _, line in _scanned_first_lines(spark, found)} == {"One,Two", "only"}
+
+
 def test_folder_keeps_the_scan_and_foreign_files(spark, tmp_path):
     folder = str(tmp_path / "staged")
     assert book(spark, tmp_path, folder=folder).transactions.count() == 41
