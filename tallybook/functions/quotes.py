@@ -16,6 +16,32 @@ from pyspark.sql import functions as F
 from tallybook.functions.text import HEADER_OPENS, TEXT_AGAIN, TEXT_ENDS, TEXT_OPENS, TEXT_SECOND
 
 
+def inside_before(lines: DataFrame, file: str, opens: Column, stays: Column) -> DataFrame:
+    """Add ``inside``: is a quoted text open before the line.
+
+    ``opens`` and ``stays`` are a line's map: is one open behind it, if none was before, and if one was.
+    Every line is looked at; ``file``, ``chunk`` and ``pos`` place it.
+    """
+    keys, of = [file, "chunk"], W.partitionBy(file, "chunk").orderBy("pos")
+    fixes = F.when(opens == stays, opens.cast("int"))
+    mapped = lines.withColumns({"_fixes": fixes, "_flip": (opens & ~stays).cast("int")})
+    counted = mapped.withColumn("_flips", F.sum("_flip").over(of)).withColumn("_value", (F.col("_fixes") + F.col("_flips")) % 2)
+    known = counted.withColumn("_known", F.last("_value", ignorenulls=True).over(of.rowsBetween(W.unboundedPreceding, -1)))
+    maps = known.groupBy(*keys).agg(F.max_by(F.coalesce("_value", "_known"), "pos").alias("_leaves"), F.sum("_flip").alias("_turns"))
+    before = (F.coalesce("_known", "_start") + F.col("_flips") - F.col("_flip")) % 2 == 1
+    return known.join(_true_starts(maps, file), keys).select(*lines.columns, before.alias("inside"))
+
+
+def _true_starts(maps: DataFrame, file: str, *keep: Column) -> DataFrame:
+    """``_start``, the state before each chunk, from the maps of the chunks before it: ``_leaves``, the
+    state a chunk ends in whatever came before (null if that depends), and ``_turns``, how often it flips."""
+    earlier = W.partitionBy(file).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    turned = maps.withColumn("_turned", F.coalesce(F.sum("_turns").over(earlier), F.lit(0)))
+    left = F.last((F.col("_leaves") + F.col("_turned")) % 2, ignorenulls=True).over(earlier)
+    start = (F.coalesce(left, F.lit(0)) + F.col("_turned")) % 2
+    return turned.select(file, "chunk", start.alias("_start"), *keep)
+
+
 def _ending() -> Column:
     """What a line with a quote makes of a text that is open before it: ``end`` of the statement, its
     ``second`` text, a second text that stays open (``again``), or ``no`` end that any statement allows."""
@@ -68,15 +94,7 @@ def text_events(lines: DataFrame, file: str) -> DataFrame:
         F.sum("_flip").alias("_turns"),
         F.min_by(here, "pos").alias("_first"),
     )
-    chunks = W.partitionBy(file).orderBy("chunk")
-    earlier = chunks.rowsBetween(W.unboundedPreceding, -1)
-    maps = maps.withColumn("_turned", F.coalesce(F.sum("_turns").over(earlier), F.lit(0)))
-    left = F.last((F.col("_leaves") + F.col("_turned")) % 2, ignorenulls=True).over(earlier)
-    starts = maps.select(
-        *keys,
-        ((F.coalesce(left, F.lit(0)) + F.col("_turned")) % 2).alias("_start"),
-        F.lead("_first").over(chunks).alias("_after"),
-    )
+    starts = _true_starts(maps, file, F.lead("_first").over(W.partitionBy(file).orderBy("chunk")).alias("_after"))
     before = (F.coalesce("_known", "_start") + F.col("_flips") - F.col("_flip")) % 2 == 1
     placed = known.join(starts, keys).withColumns({"_next": F.coalesce("_next", "_after"), "_inside": before & (F.col("_ending") != "no")})
     goes_on = F.when(F.col("_inside"), F.col("_ending") == "again").otherwise(opens) & (F.col("_next._ending") != "no")
@@ -92,4 +110,4 @@ def whole_texts(lines: DataFrame, start: str, number: str, *keep: str) -> DataFr
     the last of them. A statement is one value of the result."""
     parts = F.array_sort(F.collect_list(F.struct(number, "line")))
     joined = F.array_join(F.transform(parts, lambda part: part["line"]), "\n")
-    return lines.groupBy(start, *keep).agg(joined.alias("line"), F.max(number).alias(number)).drop(start)
+    return lines.groupBy(start, *keep).agg(joined.alias("line"), F.max(number).alias(number), F.first(start).alias("first")).drop(start)

@@ -132,6 +132,42 @@ def test_cells_with_line_breaks(spark, tmp_path, bag):
     assert got.rejects.isEmpty() and bag(got.transactions, "narration")[0][0].endswith("Fund\nb")
 
 
+CELLS = (
+    HEAD
+    + '1,2,BUY,"Fund\nb",2,3,-6\n'
+    + '1,2,BUY,"a ""quoted""\r\n\r\n, ""end""","x\ny",3,-6\n'
+    + '1,2,SELL,5" disk,2,3,-6\n'  # a quote within a cell is text
+    + '\n1,2,SELL,"closed" and more,2,3,-6\n'
+    + '1,2,BUY,"""\n""",2,3,"-6\n"\n'
+    + "1,2,few cells\n"
+    + '1,2,BUY,last,2,3,"never closed\n1,2,BUY,inside,2,3,4\n'
+)
+
+
+@pytest.mark.parametrize("size", [5, 33, 200, 100_000])
+def test_cells_over_line_ends_in_any_splits(spark, tmp_path, size):
+    (tmp_path / "a.csv").write_text(CELLS, newline="")
+    (tmp_path / "b.csv").write_text(OTHER + '1,2,BUY,"p\nq",7,"3\n",1\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = read_activities(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], multiline=True)
+        got = sorted(tuple(r) for r in rows.select("row_no", "description", "price", "quantity", "amount", "malformed").collect())
+        assert spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions() > 50 or size > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got[:5] == [
+        (1, "Fund\nb", "2", "3", "-6", False),
+        (3, 'a "quoted"\n\n, "end"', "x\ny", "3", "-6", False),
+        (7, '5" disk', "2", "3", "-6", False),
+        (9, got[3][1], "2", "3", "-6", False),
+        (10, '"\n"', "2", "3", "-6\n", False),
+    ]
+    assert got[5][0] == 13 and got[5][-1] and got[6][0] == 14 and got[7] == (LINES_PER_FILE + 1, "p\nq", "3\n", "7", "1", False)
+    assert len(got) == 8
+
+
 def test_statement_faults_are_rejects(spark, tmp_path, bag):
     move = "<STMTTRN><DTPOSTED>20240105<TRNAMT>1<NAME>n</STMTTRN>"
     held = "<LEDGERBAL><BALAMT>1<DTASOF>20240131</LEDGERBAL>"
