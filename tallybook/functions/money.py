@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from tallybook.model import FINAL, RAW
 
-# Plain decimal notation only: a cast alone would also take "1e3".
-_PLAIN_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)$"
+# Plain decimal notation only: a cast alone would also take "1e3", and round what has more decimals
+# than the raw type. Zeros behind its ten decimals say nothing.
+PLAIN_NUMBER = r"^[+-]?(?:\d+(?:\.\d{0,10}0*)?|\.\d{1,10}0*)$"
 
 
 def parse_money(text: Column) -> Column:
-    """Decimal value of money text; ``$`` and ``,`` are ignored, null if it is not a number."""
+    """Decimal value of money text; ``$`` and ``,`` are ignored, null if it is not a number of
+    at most ten decimals, which the importers reject."""
     bare = F.translate(text, "$,", "")
-    return F.when(bare.rlike(_PLAIN_NUMBER), bare.try_cast(RAW))
+    return F.when(bare.rlike(PLAIN_NUMBER), bare.try_cast(RAW))
 
 
 def rescale(amount: Column, digits: int = 3) -> Column:

@@ -63,7 +63,8 @@ def resolve_path(including: str, path: str) -> str:
 _GAP = "[ \\t]+"
 _DATE = r"(\d{4}-\d{2}-\d{2})"
 _ACCOUNT = r"((?:" + "|".join(ACCOUNT_ROOTS) + r")(?::[\p{IsAlphabetic}\p{N}-]+)+)"
-_NUMBER = r"(-?\d{1,28}(?:\.\d+)?)"
+# The raw type holds ten decimals; more are a fault, not rounded.
+_NUMBER = r"(-?\d{1,28}(?:\.\d{1,10}0*)?)"
 _COMMODITY = "([A-Z0-9_]+)"
 _QUOTED = '"([^"]+)"'
 _AMOUNT = f"{_GAP}{_NUMBER}{_GAP}{_COMMODITY}"

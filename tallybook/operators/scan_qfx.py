@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.dates import compact
+from tallybook.functions.money import PLAIN_NUMBER
 from tallybook.functions.order import carry_forward, ordinal
 from tallybook.functions.text import expand_entities, strip
 from tallybook.model import ACTION_BALANCE, RAW, Book
@@ -25,11 +26,9 @@ _PARTS = (*_STATEMENTS, *_ACCOUNTS, "STMTRS", "CCSTMTRS", "BANKTRANLIST", "LEDGE
 _IN_TRANSACTION = ("PAYEE", "BANKACCTTO", "CCACCTTO", "CURRENCY", "ORIGCURRENCY")
 _LEAVES = ("CURDEF", "ACCTID", "DTPOSTED", "TRNAMT", "NAME", "MEMO", "BALAMT", "DTASOF")
 
-_EXACT_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)$"
-
 
 def _amount(text: Column) -> Column:
-    return F.when(text.rlike(_EXACT_NUMBER), text.try_cast(RAW))
+    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast(RAW))
 
 
 def _place_tags(tags: DataFrame) -> DataFrame:

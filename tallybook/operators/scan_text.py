@@ -149,9 +149,9 @@ def _postings(placed: DataFrame) -> DataFrame:
             "transaction_no",
             "file_no",
             word[0].alias("account"),
-            F.when(has_units, word[1]).cast(RAW).alias("cp_quantity"),
+            F.when(has_units, word[1]).try_cast(RAW).alias("cp_quantity"),
             F.when(has_units, word[2]).alias("cp_commodity"),
-            F.when(has_cost, word[n - 2]).cast(RAW).alias("tc_quantity"),
+            F.when(has_cost, word[n - 2]).try_cast(RAW).alias("tc_quantity"),
             F.when(has_cost, word[n - 1]).alias("tc_commodity"),
         )
     )
@@ -169,7 +169,7 @@ def _verifications(placed: DataFrame) -> DataFrame:
         _date().alias("date"),
         action.alias("action"),
         _field(VERIFICATION, 2).alias("account"),
-        _field(VERIFICATION, 3).cast(RAW).alias("quantity"),
+        _field(VERIFICATION, 3).try_cast(RAW).alias("quantity"),
         _field(VERIFICATION, 4).alias("commodity"),
     )
 

@@ -93,7 +93,8 @@ def _headers(spark: SparkSession, files: Sequence[str]) -> Headers:
     """The files of each header."""
     found: Headers = {}
     for path, line in sorted(first_lines(spark, files)):
-        found.setdefault(tuple(next(csv.reader([line]), [])), []).append(path)
+        text = line.rstrip(b"\r").decode("utf-8-sig", "replace")
+        found.setdefault(tuple(next(csv.reader([text]), [])), []).append(path)
     return found
 
 

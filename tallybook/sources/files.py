@@ -63,8 +63,8 @@ def with_places(rows: DataFrame, files: Sequence[str], into: str, scan: DataFram
     return rows.join(lookup, ["path", "chunk"]).withColumn(into, number).drop("_first", "_before")
 
 
-def first_lines(spark: SparkSession, files: Sequence[str], *, per_task: int = 64) -> list[tuple[str, str]]:
-    """(file, its first line) of every file that has one, from its first bytes.
+def first_lines(spark: SparkSession, files: Sequence[str], *, per_task: int = 64) -> list[tuple[str, bytes]]:
+    """(file, the bytes of its first line) of every file that has one, from its first bytes.
 
     A data source with a small partition for every `per_task` files, which opens each and stops at the first line
     end. One row per file comes to the driver, which lists them anyway. Stores that only Spark reads are scanned instead.
@@ -79,12 +79,12 @@ def first_lines(spark: SparkSession, files: Sequence[str], *, per_task: int = 64
         system, path = fs.FileSystem.from_uri(unquote(file))
         return system.open_input_stream(path)
 
-    def head(file: str) -> str | None:
+    def head(file: str) -> bytes | None:
         with opened(file) as stream:
             found = b""
             while b"\n" not in found and (more := stream.read(1 << 13)):
                 found += more
-        return found.partition(b"\n")[0].rstrip(b"\r").decode("utf-8-sig", "replace") if found else None
+        return found.partition(b"\n")[0] if found else None
 
     class Reader(DataSourceReader):
         def __init__(self, names: list[str]):
@@ -105,7 +105,7 @@ def first_lines(spark: SparkSession, files: Sequence[str], *, per_task: int = 64
             return "tallybook_first_lines"
 
         def schema(self) -> str:
-            return "path string, line string"
+            return "path string, line binary"
 
         def reader(self, schema):
             return Reader(json.loads(self.options["files"]))
@@ -119,15 +119,28 @@ def first_lines(spark: SparkSession, files: Sequence[str], *, per_task: int = 64
         return _scanned_first_lines(spark, files)
     spark.dataSource.register(FirstLines)
     rows = spark.read.format("tallybook_first_lines").option("files", json.dumps(list(files))).load()
-    return [(r["path"], r["line"]) for r in rows.collect()]
+    return [(r["path"], bytes(r["line"])) for r in rows.collect()]
 
 
-def _scanned_first_lines(spark: SparkSession, files: Sequence[str]) -> list[tuple[str, str]]:
-    lines = spark.read.text([unquote(file) for file in files]).select(
+def _scanned_first_lines(spark: SparkSession, files: Sequence[str]) -> list[tuple[str, bytes]]:
+    lines = spark.read.option("lineSep", "\n").text([unquote(file) for file in files]).select(
         F.input_file_name().alias("path"),
         F.col("_metadata.file_block_start").alias("chunk"),
         F.monotonically_increasing_id().alias("pos"),
-        "value",
+        F.col("value").cast("binary").alias("value"),
     )
     first = lines.filter(F.col("chunk") == 0).groupBy("path").agg(F.min_by("value", "pos").alias("line"))
-    return [(r["path"], r["line"].removeprefix("﻿")) for r in first.collect()]
+    return [(r["path"], bytes(r["line"])) for r in first.collect()]
+
+
+# Marks at the beginning of a file, and what they tell.
+_MARKS = ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE"))
+
+
+def charsets(spark: SparkSession, files: Sequence[str]) -> dict[str | None, list[str]]:
+    """The files of each charset that a byte order mark tells; None: no mark."""
+    told = {path: next((name for mark, name in _MARKS if line.startswith(mark)), None) for path, line in first_lines(spark, files)}
+    found: dict[str | None, list[str]] = {}
+    for file in files:
+        found.setdefault(told.get(file), []).append(file)
+    return found
