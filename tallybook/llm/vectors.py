@@ -190,6 +190,8 @@ def near_copies(vectors: DataFrame, *, cosine: float = 0.95, directions: int = 1
     # 128 bits of hash stand for the vector.
     rows = rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), F.reverse("embedding"))})
     classes = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    # Rows may repeat an id with another vector, so a class has a number of its own; staged, to be the same everywhere.
+    classes = staged(classes.withColumn("of", F.monotonically_increasing_id()))
     spark = vectors.sparkSession
     firsts = rows.join(classes, ["h1", "h2"]).where("vec_id = rep").dropDuplicates(["h1", "h2"])
 
@@ -205,7 +207,7 @@ def near_copies(vectors: DataFrame, *, cosine: float = 0.95, directions: int = 1
                 yield pa.record_batch(
                     {
                         "dim": b.column("dim").slice(i, j - i),
-                        "id": b.column("rep").slice(i, j - i),
+                        "id": b.column("of").slice(i, j - i),
                         "weight": b.column("weight").slice(i, j - i),
                         "first": pa.array(steps[:, 0]),
                         "steps": pa.array([r.tobytes() for r in steps], pa.binary()),
@@ -213,7 +215,7 @@ def near_copies(vectors: DataFrame, *, cosine: float = 0.95, directions: int = 1
                     }
                 )
 
-    points = staged(firsts.select("dim", "rep", "weight", "embedding").mapInArrow(projected, "dim int, id long, weight long, first int, steps binary, unit binary"))
+    points = staged(firsts.select("dim", "of", "weight", "embedding").mapInArrow(projected, "dim int, id long, weight long, first int, steps binary, unit binary"))
     # The first projection has a bounded number of whole steps, so its counts are a small table.
     counts = points.groupBy("dim", "first").count().orderBy("dim", "first").collect()
     ranges, reach = [], STEPS + 1
@@ -256,10 +258,12 @@ def near_copies(vectors: DataFrame, *, cosine: float = 0.95, directions: int = 1
             yield block.result()
 
     made = staged(dealt.mapInArrow(counted, "a long, b long, n long"))
-    links = made.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    links = made.where("b is null").groupBy(F.col("a").alias("of")).agg(F.sum("n").alias("n"))
     group = components(made.where("b is not null").select("a", "b"))
-    of_class = classes.join(links, "rep", "left").join(group, F.col("rep") == F.col("node"), "left")
-    of_class = of_class.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.join(links, "of", "left").join(group, F.col("of") == F.col("node"), "left")
+    of_class = of_class.select("h1", "h2", "rep", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "of").alias("group"))
+    smallest = of_class.groupBy("group").agg(F.min("rep").alias("component_id"))
+    of_class = of_class.join(smallest, "group").select("h1", "h2", "n_links", "component_id")
     inner = rows.select("vec_id", "h1", "h2").join(of_class, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))

@@ -108,3 +108,18 @@ def test_nearest(spark, shard_rows):
 def test_few_candidates(spark):
     got = vectors.nearest(table(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, -0.5]), (20, [float("nan"), 1.0])]))
     assert [tuple(r) for r in got.orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
+
+
+def test_rows_that_repeat_an_id_link_by_their_own_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (1, [1.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_copies(table(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1)]
+
+
+def test_equal_vectors_rank_by_id(spark):
+    rows = [(20 * i, [float(c) for c in v]) for i, v in enumerate(clustered(40, dim=64))]
+    rows += [(1000 + i, rows[0][1]) for i in range(30)]
+    found = [r for r in vectors.nearest(table(spark, rows)).collect() if r.query_id == 0]
+    ranked = [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank)]
+    same = [i for i, s in ranked if s == ranked[0][1]]
+    assert same == sorted(same) and len(ranked) == 20
