@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,21 +46,57 @@ def _valid(kind: str, match: Column) -> Column:
     return match.isNotNull()
 
 
-def _walk(text: Column, pattern: str, kind: int, valid) -> Column:
+#: Array elements of one running block, and characters of one piece of a text: what is looked at for one
+#: match does not grow with the text.
+_RUN, _PIECE = 128, 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _running(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """What merge makes of zero and all values up to each one.
+
+    Block by block, each from the last value of the one before, as appending to one long array copies it.
+    """
+
+    def over(values: Column) -> Column:
+        none = F.transform(F.slice(values, 1, 0), lambda _: zero)
+
+        def block(done: Column, first: Column) -> Column:
+            before = F.coalesce(F.try_element_at(F.get(done, F.size(done) - 1), F.lit(-1)), zero)
+            put = lambda out, v: F.concat(out, F.array(merge(F.coalesce(F.get(out, F.size(out) - 1), before), v)))
+            return F.concat(done, F.array(F.aggregate(F.slice(values, first, _RUN), none, put)))
+
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(_RUN))
+        return F.flatten(F.aggregate(firsts, F.array(none), block))
+
+    return _let(values, over)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Characters from start to end (exclusive) of a text in pieces."""
+    first = F.floor(start / _PIECE).cast("int")
+    held = F.slice(pieces, first + 1, F.floor(end / _PIECE).cast("int") - first + 1)
+    return F.substring(F.array_join(held, ""), start - first * _PIECE + 1, end - start)
+
+
+def _walk(text: Column, pattern: str, kind: int, valid: Callable[[Column], Column]) -> Column:
     """Spans of a pattern's matches: what stands between matches and the matches give the places."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(seen: Column, pair: Column) -> Column:
-        begin = seen["at"] + F.length(pair["piece"])
-        end = begin + F.coalesce(F.length(pair["match"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["match"].alias("value"))
-        good = F.coalesce(valid(pair["match"]), F.lit(False)) & pair["match"].isNotNull()
-        out = F.when(good, F.concat(seen["out"], F.array(span).cast(SPAN))).otherwise(seen["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def spans(found: Column) -> Column:
+        lengths = F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))
+        ends = _running(lengths, F.lit(0), lambda at, n: at + n)
+        made = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("value")))
+        return F.filter(made, lambda s: s["value"].isNotNull() & F.coalesce(valid(s["value"]), F.lit(False))).cast(SPAN)
 
-    pairs = F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    return F.aggregate(pairs, start, step, lambda seen: seen["out"])
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def base_spans(text: Column) -> Column:
@@ -77,16 +115,35 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def _context(text: Column, span: Column, reach: int) -> Column:
+def _context(pieces: Column, length: Column, span: Column, reach: int) -> Column:
     """Terms within `reach` characters of a span, whole ones, as spans of their own."""
     term = KINDS.index("term")
-    before = F.substring(text, F.greatest(span["start"] - reach + 1, F.lit(1)), F.least(span["start"], F.lit(reach)))
-    before = F.when(span["start"] > reach, F.regexp_replace(before, r"^[\p{L}\p{N}_-]+", "")).otherwise(before)
-    after = F.substring(text, span["end"] + 1, F.lit(reach))
-    after = F.when(F.length(after) == reach, F.regexp_replace(after, r"[\p{L}\p{N}_-]+$", "")).otherwise(after)
-    moved = lambda spans, by: F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["kind"], (s["end"] + by).alias("end"), F.lower(s["value"]).alias("value")))
-    left = moved(_walk(before, TERM, term, lambda m: m.isNotNull()), span["start"] - F.length(before))
-    return F.concat(left, moved(_walk(after, TERM, term, lambda m: m.isNotNull()), span["end"]))
+    low, high = F.greatest(span["start"] - reach, F.lit(0)), F.least(span["end"] + reach, length)
+
+    def terms(text: Column, by: Callable[[Column], Column]) -> Column:
+        moved = lambda t: F.transform(_walk(t, TERM, term, lambda m: m.isNotNull()), lambda s: F.struct((s["start"] + by(t)).alias("start"), s["kind"], (s["end"] + by(t)).alias("end"), F.lower(s["value"]).alias("value")))
+        return _let(text, moved)
+
+    before, after = _cut(pieces, low, span["start"]), _cut(pieces, span["end"], high)
+    before = F.when(low > 0, F.regexp_replace(before, r"^[\p{L}\p{N}_-]+", "")).otherwise(before)
+    after = F.when(high - span["end"] == reach, F.regexp_replace(after, r"[\p{L}\p{N}_-]+$", "")).otherwise(after)
+    return F.concat(terms(before, lambda t: span["start"] - F.length(t)), terms(after, lambda t: span["end"]))
+
+
+def _outside(spans: Column, base: Column) -> Column:
+    """The spans that overlap no base span.
+
+    In order of the spans' ends and the base spans' starts, the furthest end of a base span so far tells.
+    """
+    event = lambda key, n: lambda s: F.struct(s[key].alias("key"), F.lit(n).alias("of_base"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))
+
+    def apart(events: Column) -> Column:
+        reached = _running(F.transform(events, lambda e: e["of_base"] * e["end"]), F.lit(0), F.greatest)
+        pairs = F.filter(F.arrays_zip(events.alias("e"), reached.alias("upto")), lambda p: (p["e"]["of_base"] == 0) & (p["upto"] <= p["e"]["start"]))
+        return F.transform(pairs, lambda p: F.struct(*(p["e"][c].alias(c) for c in ("start", "kind", "end", "value"))))
+
+    both = F.concat(F.transform(spans, event("end", 0)), F.transform(base, event("start", 1)))
+    return _let(F.array_sort(both), apart).cast(SPAN)
 
 
 def scan(docs: DataFrame, *, reach: int = 80, support: int = 2, share: float = 0.5, bits: float = 6.0) -> DataFrame:
@@ -103,9 +160,10 @@ def scan(docs: DataFrame, *, reach: int = 80, support: int = 2, share: float = 0
     table gives none; other columns are ignored. Only DataFrame functions run.
     """
     rows = doc_texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
-    found = staged(rows.select("doc_id", "key", base_spans(F.col("text")).alias("base"), "text").select(
-        "doc_id", "key", "base", F.transform("base", lambda s: F.struct(s["value"].alias("entity"), _context(F.col("text"), s, reach).alias("terms"))).alias("contexts")
-    ))
+    beside = lambda t: F.transform("base", lambda s: F.struct(s["value"].alias("entity"), _context(t["pieces"], t["length"], s, reach).alias("terms")))
+    # Lengths of whole texts are counted once a text, not at each span.
+    contexts = F.when(F.size("base") > 0, _let(F.struct(_pieces(F.col("text")).alias("pieces"), F.length("text").alias("length")), beside))
+    found = staged(rows.select("doc_id", "key", base_spans(F.col("text")).alias("base"), "text").select("doc_id", "key", "base", contexts.alias("contexts")))
     near = found.where(F.size("base") > 0).select("doc_id", "key", F.explode("contexts").alias("c"))
     near = near.select("doc_id", "key", F.xxhash64("c.entity").alias("entity"), F.xxhash64("c.terms.value").alias("context"), F.explode("c.terms").alias("term"))
     near = near.select("doc_id", "key", "entity", "context", F.xxhash64("term.value").alias("word"), "term")
@@ -124,7 +182,7 @@ def scan(docs: DataFrame, *, reach: int = 80, support: int = 2, share: float = 0
     same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("key") == F.col("of_key"))
     out = found.join(extra, same, "left").select("doc_id", "key", "base", F.coalesce("extra", F.array().cast(SPAN)).alias("extra"))
     # A term inside a base span adds nothing.
-    outside = F.filter("extra", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    outside = F.when(F.size("extra") > 0, _outside(F.col("extra"), F.col("base"))).otherwise(F.col("extra"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return out.withColumn("all", F.concat("base", outside)).select(
         "doc_id",
@@ -145,12 +203,14 @@ def sanitised(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     names = F.array(*map(F.lit, KINDS))
     text = F.col("text")
 
-    def step(seen: Column, s: Column) -> Column:
-        mark = F.concat(F.lit("["), F.get(names, s["kind"]), F.lit("]"))
-        new = F.concat(seen["out"], F.substring(text, seen["at"] + 1, s["start"] - seen["at"]), mark)
-        fresh = s["start"] >= seen["at"]
-        return F.struct(F.greatest(seen["at"], s["end"]).alias("at"), F.when(fresh, new).otherwise(seen["out"]).alias("out"))
+    def cleaned(pieces: Column) -> Column:
+        reached = _running(F.transform("all", lambda s: s["end"]), F.lit(0), F.greatest)
+        before = F.concat(F.array(F.lit(0)), reached)
+
+        def step(s: Column, at: Column) -> Column:
+            new = F.concat(_cut(pieces, at, s["start"]), F.lit("["), F.get(names, s["kind"]), F.lit("]"))
+            return F.when(s["start"].isNull(), _cut(pieces, at, F.length(text))).when(s["start"] >= at, new).otherwise("")
+
+        return F.array_join(F.zip_with("all", before, step), "")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    end = lambda seen: F.concat(seen["out"], F.substring(text, seen["at"] + 1, F.length(text)))
-    return rows.join(found, same, "left").select("doc_id", F.when(F.col("all").isNull(), text).otherwise(F.aggregate("all", start, step, end)).alias("text"))
+    return rows.join(found, same, "left").select("doc_id", F.when(F.col("all").isNull(), text).otherwise(_let(_pieces(text), cleaned)).alias("text"))

@@ -1,10 +1,12 @@
 """Toxicity, secrets and personal data: held-out accuracy, and patterns against Python's own."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tallybook.llm import pii, secrets, toxicity
@@ -195,3 +197,59 @@ def test_revealing_terms_become_spans(spark, revealing):
 def test_personal_data_runs_no_python(spark, revealing):
     plan = pii.scan(revealing)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct", plan)
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"writer{i} mails someone{i}@host{i % 50}.example about +1 (555) 010-{i:05d} today" for i in range(3000))
+    table = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    found = pii.scan(table)
+    got = {r.doc_id: r for r in found.collect()}
+    spans = [(m.start(), n, m.end(), k) for n, (k, p) in enumerate(PERSONAL.items()) for m in re.finditer(p, text) if fine(k, m[0])]
+    joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+    assert got[1].base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and got[1].n_email == got[1].n_phone == 3000
+    out, at = [], 0
+    for s in sorted(got[1]["all"]):
+        if s.start >= at:
+            out.append(text[at : s.start] + f"[{pii.KINDS[s.kind]}]")
+        at = max(at, s.end)
+    clean = {r.doc_id: r.text for r in pii.sanitised(table, found).collect()}
+    assert clean == {1: "".join(out) + text[at:], 2: ""}
+
+
+@pytest.mark.parametrize("source", ["made", "given"])
+def test_revealing_terms_against_brute_force(spark, revealing, source):
+    table = revealing if source == "made" else spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    table = table.select("doc_id", "text")
+    support, share, bits, reach = 2, 0.5, 6.0 if source == "made" else 3.0, 80
+    got = {r.doc_id: r for r in pii.scan(table, bits=bits).collect()}
+    texts = {r.doc_id: r.text or "" for r in table.collect()}
+    term = regex.compile(pii.TERM)
+    base, near = {}, []
+    for i, text in texts.items():
+        base[i] = [(m.start(), m.end(), m[0]) for k, p in PERSONAL.items() for m in re.finditer(p, text) if fine(k, m[0])]
+        for a, b, entity in base[i]:
+            low, left, right = max(a - reach, 0), text[max(a - reach, 0) : a], text[b : b + reach]
+            left = regex.sub(r"^[\p{L}\p{N}_-]+", "", left) if low else left
+            right = regex.sub(r"[\p{L}\p{N}_-]+$", "", right) if len(right) == reach else right
+            found = [(a - len(left) + m.start(), a - len(left) + m.end(), m[0].lower()) for m in term.finditer(left)]
+            found += [(b + m.start(), b + m.end(), m[0].lower()) for m in term.finditer(right)]
+            near += [(i, entity, tuple(w for _, _, w in found), t) for t in found]
+    docs_of, entity_docs, term_docs = {}, {}, {}
+    for i, entity, context, t in near:
+        docs_of.setdefault((entity, t[2]), {}).setdefault(context, set()).add(i)
+        entity_docs.setdefault(entity, set()).add(i)
+    for text in texts.values():
+        for w in {m[0] for m in term.finditer(text.lower())}:
+            term_docs[w] = term_docs.get(w, 0) + 1
+    revealed = set()
+    for (entity, word), by in docs_of.items():
+        given = min(sum(map(len, by.values())) / term_docs.get(word, math.inf), 1)
+        apart = len({min(got[i].key for i in group) for group in by.values()})
+        if apart >= support and given >= share and math.log2(given * len(texts) / len(entity_docs[entity])) >= bits:
+            revealed.add((entity, word))
+    wanted = {i: set() for i in texts}
+    for i, entity, _, (a, b, word) in near:
+        if (entity, word) in revealed and not any(a < e and s < b for s, e, _ in base[i]):
+            wanted[i].add((a, b))
+    assert {i: {(s.start, s.end) for s in r["all"] if pii.KINDS[s.kind] == "term"} for i, r in got.items()} == wanted
+    assert revealed or source == "given"
