@@ -156,7 +156,8 @@ def scan(docs: DataFrame, *, reach: int = 80, support: int = 2, share: float = 0
     in bits that t gives about e), and different contexts of at least `support` documents show both, so
     that copies of one passage prove nothing. Such terms near the entity become spans of kind term.
 
-    Null text is empty: no spans. Repeated rows are rows of their own; a null doc_id stays null. An empty
+    Null text is empty: no spans. A very long text is scanned whole, in time that grows with its length and
+    its matches; its row fits one task. Repeated rows are rows of their own; a null doc_id stays null. An empty
     table gives none; other columns are ignored. Only DataFrame functions run.
     """
     rows = doc_texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
