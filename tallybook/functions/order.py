@@ -14,7 +14,7 @@ file, so it does not depend on how the file was split.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,45 +31,45 @@ def _before(file: str) -> W:
 
 
 def carry_forward(
-    rows: DataFrame, marks: Mapping[str, Column], file: str = "file", counts: Column | None = None
+    rows: DataFrame,
+    marks: Mapping[str, Column],
+    file: str = "file",
+    counts: Column | None = None,
+    stage: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Number the rows (only those that ``counts``, if given; others have the number before), and add the latest non-null value of each mark at or before the row.
 
     ``number`` increases in document order over all files; ``number`` modulo
     ``LINES_PER_FILE`` is the row's place in its file, from one. A mark ``m`` adds the
     columns ``m`` and ``m_no``, the number of the row it comes from.
+
+    The rows are needed twice, for the summary of the chunks and for the result. ``stage`` writes a table and
+    reads it back; with it they are derived, dealt and sorted once, and the size of the summary is known to the join.
     """
-    marked = rows.select(
-        "*",
-        *[
-            F.when(mark.isNotNull(), F.struct(F.col("pos"), mark.alias("value"))).alias(f"_mark_{name}")
-            for name, mark in marks.items()
-        ],
-    )
     in_chunk = W.partitionBy(file, "chunk").orderBy("pos")
     so_far = in_chunk.rowsBetween(W.unboundedPreceding, 0)
     place = F.row_number().over(in_chunk) if counts is None else F.sum(counts.cast("int")).over(so_far)
-    placed = marked.withColumn("_place", place.cast("long"))
+    # Marks are made where they are carried, so that rows are dealt without them.
+    placed = rows.withColumn("_place", place.cast("long"))
     within = placed.select(
         *rows.columns,
         "_place",
+        F.lead(F.lit(True)).over(in_chunk).isNull().alias("_ends"),
         *[
             F.last(
-                F.when(
-                    F.col(f"_mark_{name}").isNotNull(),
-                    F.struct(F.col("_place").alias("no"), F.col(f"_mark_{name}.value").alias("value")),
-                ),
+                F.when(mark.isNotNull(), F.struct(F.col("_place").alias("no"), mark.alias("value"))),
                 ignorenulls=True,
             )
             .over(so_far)
             .alias(f"_within_{name}")
-            for name in marks
+            for name, mark in marks.items()
         ],
     )
-    # A chunk's last row has what the chunk hands on; it is found in the rows as they are dealt.
-    summary = within.groupBy(file, "chunk").agg(
-        F.max("_place").alias("_size"),
-        *[F.max_by(f"_within_{name}", "pos").alias(f"_last_{name}") for name in marks],
+    if stage:
+        within = stage(within, "rows")
+    # A chunk's last row has what the chunk hands on.
+    summary = within.filter("_ends").select(
+        file, "chunk", F.col("_place").alias("_size"), *[F.col(f"_within_{name}").alias(f"_last_{name}") for name in marks]
     )
     earlier = _before(file)
     start = F.col(file) * F.lit(LINES_PER_FILE)
@@ -96,6 +96,8 @@ def carry_forward(
             for name in marks
         ],
     )
+    if stage:
+        carried = stage(carried, "chunks")
     found = []
     for name in marks:
         found += [

@@ -9,6 +9,8 @@ the last fixing line left, flipped as often as flipping lines came since, which
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,7 +60,7 @@ def _ending() -> Column:
 BEFORE, LINE, AFTER, AGAIN = range(4)
 
 
-def text_events(lines: DataFrame, file: str) -> DataFrame:
+def text_events(lines: DataFrame, file: str, stage: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Where quoted texts that run over line ends begin and end, as rows between the lines.
 
     Takes lines placed by ``file``, ``chunk`` and ``pos``; only those with a quote are looked at, and of these
@@ -69,7 +71,8 @@ def text_events(lines: DataFrame, file: str) -> DataFrame:
     * ``opener``, after its last: what postings below it belong to, ``*`` if it is a transaction.
 
     A text that no line ends as a statement allows is none: the line that opens it stands alone,
-    and those below are read as usual. Chunk ends change nothing.
+    and those below are read as usual. Chunk ends change nothing. ``stage``, if given, writes the places and flags
+    and reads them back, so that the lines are searched for quotes once.
     """
     keys = [file, "chunk"]
     line, of = F.col("line"), W.partitionBy(*keys).orderBy("pos")
@@ -82,6 +85,8 @@ def text_events(lines: DataFrame, file: str) -> DataFrame:
         .withColumn("_fixes", F.when(opens == from_inside, opens.cast("int")))
         .withColumn("_flip", (opens & F.col("_fixes").isNull()).cast("int"))
     )
+    if stage:
+        quoted = stage(quoted, "quotes")
     here = F.struct("chunk", "pos", "_ending")
     counted = quoted.select("*", F.sum("_flip").over(of).alias("_flips"), F.lead(here).over(of).alias("_next"))
     # A fixing line's value is kept as it would stand at the chunk's first line.

@@ -8,6 +8,8 @@ case-insensitive and aggregates need no end tag.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from tallybook.functions.order import carry_forward, ordinal
 from tallybook.functions.text import expand_entities, strip
 from tallybook.model import ACTION_BALANCE, RAW, Book
 from tallybook.operators.lookups import name_accounts
+from tallybook.sinks.tables import staging
 
 # Tags of the statement format.
 _STATEMENTS = ("STMTTRNRS", "CCSTMTTRNRS")
@@ -31,7 +34,7 @@ def _amount(text: Column) -> Column:
     return F.when(text.rlike(PLAIN_NUMBER), text.try_cast(RAW))
 
 
-def _place_tags(tags: DataFrame) -> DataFrame:
+def _place_tags(tags: DataFrame, stage: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Leaf tags with their statement, part and (in a transaction) transaction number."""
     before = F.substring_index("token", ">", 1)
     parsed = (
@@ -61,6 +64,7 @@ def _place_tags(tags: DataFrame) -> DataFrame:
             "transaction": F.when(opens & (tag == "STMTTRN"), tag),
             "part": part,
         },
+        stage=stage,
     )
     leaf = F.when(opens & tag.isin(*_LEAVES), expand_entities(strip(F.col("text"))))
     # What stands before the body of its file is not part of the statement.
@@ -101,7 +105,7 @@ def _entries(leaves: DataFrame) -> DataFrame:
     )
 
 
-def scan_qfx(tags: DataFrame, accounts: DataFrame, consecutive: bool = False) -> Book:
+def scan_qfx(tags: DataFrame, accounts: DataFrame, consecutive: bool = False, folder: str | None = None) -> Book:
     """Transactions, one posting each, and balance assertions, from statement tags.
 
     ``accounts`` names account ids; an id without a name is used as it is. Nothing before a
@@ -109,8 +113,14 @@ def scan_qfx(tags: DataFrame, accounts: DataFrame, consecutive: bool = False) ->
     stands outside a statement or in one without an account or a currency.
     Statement numbers grow in document order. With ``consecutive`` they count the
     transactions from one and then the balances, which costs two rankings.
+
+    Every table needs all entries. With ``folder``, a shared folder, the placed tags and the entries are written
+    there once; without it, each use of them scans the tags again.
     """
-    entries = _entries(_place_tags(tags))
+    stage = staging(tags.sparkSession, folder) if folder is not None else None
+    entries = _entries(_place_tags(tags, stage))
+    if stage:
+        entries = stage(entries, "entries")
     statements = entries.filter(F.col("kind") == "statement").select(
         "statement_no", "leaf.acctid", "leaf.curdef"
     )

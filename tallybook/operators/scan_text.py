@@ -33,6 +33,7 @@ from tallybook.model import (
     Book,
 )
 from tallybook.operators.legs import default_cost_to_units
+from tallybook.sinks.tables import staging
 
 
 def _field(pattern: str, group: int) -> Column:
@@ -52,11 +53,11 @@ def _kind() -> Column:
     resemble no statement are ``other`` and carry no meaning. Takes whole statements.
     """
     line = F.col("line")
-    first = F.substring(F.ltrim(F.translate("line", "\t", " ")), 1, 1)
-    indented = line.rlike("^[ \t]")
+    first = F.substring(F.ltrim("line", F.lit(" \t")), 1, 1)
+    indented = line.startswith(" ") | line.startswith("\t")
     word = F.regexp_extract("line", STATEMENT_WORD, 1)
     # A statement word after a date that does not exist makes no statement.
-    no_such_day = line.rlike(r"^\d") & _date().isNull()
+    no_such_day = F.substring("line", 1, 1).between("0", "9") & _date().isNull()
     quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
     return (
         F.when(first == "", "blank")
@@ -79,10 +80,11 @@ def scan_text(lines: DataFrame, folder: str | None = None) -> Book:
     not opened by a header is a reject; a text that never ends is one reject, and reading goes on below it.
 
     Every table is a selection of the classified lines. With ``folder``, a shared
-    folder, those are written there once, partitioned by kind of statement, and each
-    table reads its own partition; without it, each table scans the text again.
+    folder, those are written there once, with their places and partitioned by kind of statement, and each table
+    reads its own partition and the lines inside texts; without it, each table scans the text again.
     """
-    events = text_events(lines, "file_no").withColumns({"kind": F.lit(None).cast("string"), "line": F.lit(None).cast("string")})
+    stage = staging(lines.sparkSession, folder, by={"rows": "kind"}) if folder is not None else None
+    events = text_events(lines, "file_no", stage).withColumns({"kind": F.lit(None).cast("string"), "line": F.lit(None).cast("string")})
     none = {"text": F.lit(None).cast("boolean"), "starts": F.lit(None).cast("int"), "opener": F.lit(None).cast("string")}
     kinds = lines.select("file_no", "chunk", (F.col("pos") * 4 + LINE).alias("pos"), "line").withColumns({"kind": _kind(), **none})
     is_line = F.col("kind").isNotNull()
@@ -93,22 +95,19 @@ def scan_text(lines: DataFrame, folder: str | None = None) -> Book:
         {"mark": opener, "text": F.col("_text"), "start": F.col("starts")},
         file="file_no",
         counts=is_line,
+        stage=stage,
     )
-    kind = F.when(F.col("text"), "text").otherwise(F.col("kind")).alias("kind")
     placed = placed.filter(is_line).select(
-        "file_no", F.col("number").alias("statement_no"), kind, F.col("mark").alias("opener"), F.col("mark_no").alias("opener_no"), "line", "start_no"
+        "file_no", F.col("number").alias("statement_no"), "kind", F.coalesce("text", F.lit(False)).alias("text"), F.col("mark").alias("opener"), F.col("mark_no").alias("opener_no"), "line", "start_no"
     )
-    if folder is not None:
-        placed.write.mode("errorifexists").partitionBy("kind").parquet(folder)
-        placed = lines.sparkSession.read.parquet(folder)
-    parts = placed.filter(F.col("kind") == "text").select("start_no", "statement_no", "file_no", "line")
+    parts = placed.filter("text").select("start_no", "statement_no", "file_no", "line")
     joined = whole_texts(parts, "start_no", "statement_no", "file_no").withColumns(
         {
             "kind": F.when(_kind() == "other", "reject").otherwise(_kind()),
             "opener": F.lit(None).cast("string"),
         }
     )
-    single = placed.filter(F.col("kind") != "text")
+    single = placed.filter(~F.col("text"))
     columns = (*_PLACE, "kind", "opener", "line")
     whole = single.select(*columns).unionByName(joined.select(*columns))
     return Book(
@@ -199,7 +198,7 @@ def _rejects(placed: DataFrame) -> DataFrame:
         (kind == "posting") & ~F.coalesce(F.col("opener") == "*", F.lit(False)),
         "posting without a transaction",
     )
-    return placed.select(*_PLACE, "line", reason.alias("reason")).filter(
+    return placed.filter(kind.isin("reject", "posting")).select(*_PLACE, "line", reason.alias("reason")).filter(
         F.col("reason").isNotNull()
     )
 

@@ -175,9 +175,5 @@ def statement_book(
     consecutive: bool = False,
     folder: str | None = None,
 ) -> Book:
-    """Bank and credit-card statements. ``folder`` stages the tags."""
-    tags = read_tags(spark, paths, encoding)
-    if folder is not None:
-        tags.write.mode("errorifexists").parquet(folder)
-        tags = spark.read.parquet(folder)
-    return scan_qfx(tags, read_account_names(spark, account_paths), consecutive)
+    """Bank and credit-card statements. ``folder`` stages the placed tags and the entries."""
+    return scan_qfx(read_tags(spark, paths, encoding), read_account_names(spark, account_paths), consecutive, folder)

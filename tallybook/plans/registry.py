@@ -57,14 +57,17 @@ def _holdings(star: Star) -> tuple[DataFrame, DataFrame]:
     return brokerage.import_holdings(S.holdings_rows(star), _owners(star), "2024-01-31", "USD")
 
 
-def _book(star: Star, tables: int = 1) -> Book:
-    """Staged for several tables, if the session names a folder for it."""
-    keep = tables > 1 and star.spark.conf.get("spark.checkpoint.dir", None)
-    return scan_text(S.book_lines(star), shared_folder(star.spark, "lines") if keep else None)
+def _folder(star: Star, name: str) -> str | None:
+    """A folder for what a scan stages, if the session names a place for it."""
+    return shared_folder(star.spark, name) if star.spark.conf.get("spark.checkpoint.dir", None) else None
+
+
+def _book(star: Star) -> Book:
+    return scan_text(S.book_lines(star), _folder(star, "lines"))
 
 
 def _qfx(star: Star) -> Book:
-    return scan_qfx(S.statement_tags(star), S.account_names(star), consecutive=True)
+    return scan_qfx(S.statement_tags(star), S.account_names(star), consecutive=True, folder=_folder(star, "tags"))
 
 
 def _completed(star: Star) -> DataFrame:
@@ -81,7 +84,7 @@ def _reconciled(star: Star) -> DataFrame:
 
 
 def _scanned_postings(star: Star) -> DataFrame:
-    book = _book(star, tables=2)
+    book = _book(star)
     headers = book.transactions.select(F.col("statement_no").alias("transaction_no"), "narration")
     return book.postings.join(headers, "transaction_no").select(
         "narration", "account", "cp_quantity", "cp_commodity", "tc_quantity", "tc_commodity"
@@ -206,7 +209,7 @@ _QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "scan_text_info": lambda s: _book(s).informationals.drop("statement_no"),
     "scan_text_includes": lambda s: _book(s).includes.select("path"),
     "scan_text_rejects": lambda s: _book(s).rejects.select("line", "reason"),
-    "scan_text_empty_headers": lambda s: transactions_without_postings(_book(s, tables=2)).select(
+    "scan_text_empty_headers": lambda s: transactions_without_postings(_book(s)).select(
         "date", "narration", "tags"
     ),
     # bank statements

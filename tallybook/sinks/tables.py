@@ -1,10 +1,11 @@
-"""A book's tables as Parquet, with the import summary of what was written."""
+"""A book's tables as Parquet, with the import summary of what was written, and tables staged between steps."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import fields
 
-from pyspark.sql import Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.model import Book
@@ -24,3 +25,17 @@ def write_tables(book: Book, folder: str) -> dict[str, int]:
             counted.write.mode("errorifexists").parquet(f"{folder}/{field.name}")
             counts[field.name] = seen.get["rows"]
     return counts
+
+
+def staging(spark: SparkSession, folder: str, by: Mapping[str, str] | None = None) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that writes a table below ``folder`` under a name, and reads it back; ``by`` names the column
+    that a table is partitioned by. A table that is there already stops the job."""
+
+    def stage(table: DataFrame, name: str) -> DataFrame:
+        writer = table.write.mode("errorifexists")
+        if by and name in by:
+            writer = writer.partitionBy(by[name])
+        writer.parquet(f"{folder}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+    return stage
