@@ -83,12 +83,12 @@ def complete_transactions(
     shares that go to different tasks; the list of such transactions has at most
     (rows / rows_per_task) entries, which is why it may be broadcast.
     """
-    owed = _amounts_owed(postings).filter(F.col("gaps") > 0)
-    owed = owed.withColumn(
-        "shares", F.ceil(F.col("gaps") / F.lit(rows_per_task)).cast("int")
-    )
-    large = owed.filter(F.col("shares") > 1).select("transaction_no", "shares")
-    owed = owed.filter(F.col("owed").isNotNull())
+    shares = F.ceil(F.col("gaps") / F.lit(rows_per_task)).cast("int").alias("shares")
+    # Which transactions are large needs the postings with a gap alone.
+    gaps = postings.filter(_has_gap()).groupBy("transaction_no").agg(F.count(F.lit(1)).alias("gaps"))
+    large = gaps.select("transaction_no", shares).filter(F.col("shares") > 1)
+    owed = _amounts_owed(postings).filter((F.col("gaps") > 0) & F.col("owed").isNotNull())
+    owed = owed.select("*", shares)
 
     with_gap = (
         postings.filter(_has_gap())
