@@ -18,6 +18,8 @@ from tallybook.sources.lookups import last_entry_wins
 
 #: Statement numbers one order takes: its header, up to seven items, other lines.
 SLOTS = 16
+#: Rows of a table that one task derives postings from.
+_ROWS_PER_TASK = 500_000
 
 
 @dataclass(frozen=True)
@@ -32,10 +34,11 @@ class Star:
         return self._spread(rows) if table in ("lineitem", "orders") else rows
 
     def _spread(self, rows: DataFrame) -> DataFrame:
-        """A table whose files have fewer row groups than there are cores is dealt to all of them:
-        what is derived from a row costs much more than moving its few columns."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+        """A table whose files have fewer splits than there are cores is dealt to all of them:
+        what is derived from a row costs much more than moving its few columns. So is one whose splits
+        hold very many rows, as a task's memory follows its rows. The files tell how many there are."""
+        parts = max(self.spark.sparkContext.defaultParallelism, -(-rows.count() // _ROWS_PER_TASK))
+        return rows.repartition(parts) if rows.rdd.getNumPartitions() < parts else rows
 
 
 def _text(*parts: Column | str) -> Column:
