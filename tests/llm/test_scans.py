@@ -253,3 +253,29 @@ def test_revealing_terms_against_brute_force(spark, revealing, source):
             wanted[i].add((a, b))
     assert {i: {(s.start, s.end) for s in r["all"] if pii.KINDS[s.kind] == "term"} for i, r in got.items()} == wanted
     assert revealed or source == "given"
+
+
+def test_network_learns_from_every_window(spark, monkeypatch):
+    """No part of the labelled windows is left out, however many there are, and shards learn together."""
+    rng = np.random.default_rng(8)
+    key = lambda: "".join(rng.choice(list("0123456789abcdefABCDEFGHXYZ"), 24))
+    word = lambda: "".join(rng.choice(["th", "er", "an", "ing", "ion", "st"], 9))
+    texts = [f"has password={key()} and" for _ in range(300)] + [f"has only {word()} and" for _ in range(900)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    collect = type(table).collect
+
+    def counted(frame):
+        rows = collect(frame)
+        if frame.columns == ["shard", "n", "state"]:
+            seen.append((len(rows), sum(r["n"] for r in rows)))
+        return rows
+
+    monkeypatch.setattr(type(table), "collect", counted)
+    net = secrets.fit(table, shard=200)
+    distinct = {w for t in texts for a, b, _ in secrets.candidates(t, secrets.base_spans(t)) for w in secrets.windows(t, a, b)}
+    assert len(seen) == 8 and len(set(seen)) == 1 and seen[0][0] > 2
+    assert 0.65 * len(distinct) < seen[0][1] < 0.85 * len(distinct)
+    assert net.recall >= 0.98 and net.threshold >= 0.5
+    again = secrets.fit(table.repartition(5), shard=200)
+    assert (again.threshold, again.line) == (net.threshold, net.line)
