@@ -14,7 +14,7 @@ file, so it does not depend on how the file was split.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 LINES_PER_FILE = 1 << 36
 #: Files whose sums are added up in one window of a running total.
 _FILES_PER_RANGE = 1 << 12
+#: Bits of a carried number that tell which of its few values a mark has.
+_CODE_BITS = 6
 
 
 def _before(file: str) -> W:
@@ -36,6 +38,8 @@ def carry_forward(
     file: str = "file",
     counts: Column | None = None,
     stage: Callable[[DataFrame, str], DataFrame] | None = None,
+    among: Mapping[str, Sequence[object]] | None = None,
+    keep: Column | None = None,
 ) -> DataFrame:
     """Number the rows (only those that ``counts``, if given; others have the number before), and add the latest non-null value of each mark at or before the row.
 
@@ -45,7 +49,12 @@ def carry_forward(
 
     The rows are needed twice, for the summary of the chunks and for the result. ``stage`` writes a table and
     reads it back; with it they are derived, dealt and sorted once, and the size of the summary is known to the join.
+
+    ``among`` lists the values of marks that take few (63 at most); such a mark is carried as one number, which costs
+    much less than a place and a value. A value that is not listed stops the job. ``keep`` tells which rows the result
+    has; others have only to hand on their marks.
     """
+    among = among or {}
     in_chunk = W.partitionBy(file, "chunk").orderBy("pos")
     so_far = in_chunk.rowsBetween(W.unboundedPreceding, 0)
     place = F.row_number().over(in_chunk) if counts is None else F.sum(counts.cast("int")).over(so_far)
@@ -56,20 +65,24 @@ def carry_forward(
         "_place",
         F.lead(F.lit(True)).over(in_chunk).isNull().alias("_ends"),
         *[
-            F.last(
-                F.when(mark.isNotNull(), F.struct(F.col("_place").alias("no"), mark.alias("value"))),
-                ignorenulls=True,
-            )
-            .over(so_far)
-            .alias(f"_within_{name}")
+            F.last(_noted(mark, among.get(name)), ignorenulls=True).over(so_far).alias(f"_within_{name}")
             for name, mark in marks.items()
         ],
     )
+    # Read once here: what is staged has plain columns.
+    noted = [
+        read(f"_within_{name}", among.get(name)).alias(f"{what}_{name}")
+        for name in marks
+        for what, read in (("_no", _place_of), ("_value", _value_of))
+    ]
+    within = within.select(*rows.columns, "_place", "_ends", *noted)
+    if keep is not None:
+        within = within.withColumn("_keep", F.coalesce(keep, F.lit(False))).filter("_keep or _ends")
     if stage:
         within = stage(within, "rows")
     # A chunk's last row has what the chunk hands on.
     summary = within.filter("_ends").select(
-        file, "chunk", F.col("_place").alias("_size"), *[F.col(f"_within_{name}").alias(f"_last_{name}") for name in marks]
+        file, "chunk", F.col("_place").alias("_size"), *[c for name in marks for c in (f"_no_{name}", f"_value_{name}")]
     )
     earlier = _before(file)
     start = F.col(file) * F.lit(LINES_PER_FILE)
@@ -83,11 +96,8 @@ def carry_forward(
         *[
             F.last(
                 F.when(
-                    F.col(f"_last_{name}").isNotNull(),
-                    F.struct(
-                        (F.col(f"_last_{name}.no") + F.col("_shift")).alias("no"),
-                        F.col(f"_last_{name}.value").alias("value"),
-                    ),
+                    F.col(f"_no_{name}").isNotNull(),
+                    F.struct((F.col(f"_no_{name}") + F.col("_shift")).alias("no"), F.col(f"_value_{name}").alias("value")),
                 ),
                 ignorenulls=True,
             )
@@ -101,16 +111,39 @@ def carry_forward(
     found = []
     for name in marks:
         found += [
-            F.coalesce(f"_within_{name}.value", f"_before_{name}.value").alias(name),
-            F.coalesce(
-                F.col(f"_within_{name}.no") + F.col("_shift"), F.col(f"_before_{name}.no")
-            ).alias(f"{name}_no"),
+            F.coalesce(f"_value_{name}", f"_before_{name}.value").alias(name),
+            F.coalesce(F.col(f"_no_{name}") + F.col("_shift"), F.col(f"_before_{name}.no")).alias(f"{name}_no"),
         ]
+    if keep is not None:
+        within = within.filter("_keep")
     return within.join(carried, [file, "chunk"]).select(
         *rows.columns, (F.col("_place") + F.col("_shift")).alias("number"), *found
     )
 
 
+def _noted(mark: Column, values: Sequence[object] | None) -> Column:
+    """What is carried of a mark: its place and value, or one number made of the place and the value's place in ``values``."""
+    if values is None:
+        return F.when(mark.isNotNull(), F.struct(F.col("_place").alias("no"), mark.alias("value")))
+    return F.shiftleft("_place", _CODE_BITS) + F.array_position(_listed(values), mark)
+
+
+def _listed(values: Sequence[object]) -> Column:
+    return F.array(*[F.lit(value) for value in values])
+
+
+def _place_of(carried: str, values: Sequence[object] | None) -> Column:
+    return F.col(f"{carried}.no") if values is None else F.shiftright(carried, _CODE_BITS)
+
+
+def _value_of(carried: str, values: Sequence[object] | None) -> Column:
+    if values is None:
+        return F.col(f"{carried}.value")
+    # Spark takes an element of a list without nulls for never null, even if the place is.
+    value = F.element_at(_listed(values), F.col(carried).bitwiseAND((1 << _CODE_BITS) - 1).cast("int"))
+    return F.when(F.col(carried).isNotNull(), value)
+
+
 def numbered(rows: DataFrame, file: str = "file") -> DataFrame:
     """Add ``number`` as ``carry_forward`` gives it."""
     return carry_forward(rows, {}, file)

@@ -80,13 +80,16 @@ def scan_text(lines: DataFrame, folder: str | None = None) -> Book:
     not opened by a header is a reject; a text that never ends is one reject, and reading goes on below it.
 
     Every table is a selection of the classified lines. With ``folder``, a shared
-    folder, those are written there once, with their places and partitioned by kind of statement, and each table
+    folder, the lines are derived and written there once, then with their places and partitioned by kind of statement, and each table
     reads its own partition and the lines inside texts; without it, each table scans the text again.
     """
-    stage = staging(lines.sparkSession, folder, by={"rows": "kind"}) if folder is not None else None
-    events = text_events(lines, "file_no", stage).withColumns({"kind": F.lit(None).cast("string"), "line": F.lit(None).cast("string")})
+    stage = staging(lines.sparkSession, folder, by={"lines": "quoted", "rows": "kind"}) if folder is not None else None
+    classified = lines.select("file_no", "chunk", "pos", "line", _kind().alias("kind"), F.col("line").contains('"').alias("quoted"))
+    if stage:
+        classified = stage(classified, "lines")
+    events = text_events(classified.filter("quoted"), "file_no", stage).withColumns({"kind": F.lit(None).cast("string"), "line": F.lit(None).cast("string")})
     none = {"text": F.lit(None).cast("boolean"), "starts": F.lit(None).cast("int"), "opener": F.lit(None).cast("string")}
-    kinds = lines.select("file_no", "chunk", (F.col("pos") * 4 + LINE).alias("pos"), "line").withColumns({"kind": _kind(), **none})
+    kinds = classified.select("file_no", "chunk", (F.col("pos") * 4 + LINE).alias("pos"), "line", "kind").withColumns(none)
     is_line = F.col("kind").isNotNull()
     # What lines inside a text look like is put right by the event behind it.
     opener = F.coalesce("opener", F.when(F.col("kind") != "posting", F.col("kind")))
@@ -96,8 +99,10 @@ def scan_text(lines: DataFrame, folder: str | None = None) -> Book:
         file="file_no",
         counts=is_line,
         stage=stage,
+        among={"mark": _KINDS, "text": (True, False), "start": (1,)},
+        keep=is_line,
     )
-    placed = placed.filter(is_line).select(
+    placed = placed.select(
         "file_no", F.col("number").alias("statement_no"), "kind", F.coalesce("text", F.lit(False)).alias("text"), F.col("mark").alias("opener"), F.col("mark_no").alias("opener_no"), "line", "start_no"
     )
     parts = placed.filter("text").select("start_no", "statement_no", "file_no", "line")
@@ -123,6 +128,11 @@ def scan_text(lines: DataFrame, folder: str | None = None) -> Book:
 
 
 _PLACE = ("statement_no", "file_no")
+#: What ``_kind`` gives, and ``text`` for the end of a text that is no header.
+_KINDS = (
+    "*", "open", "close", "balance", "event", "custom", "include", "option",
+    "posting", "blank", "comment", "other", "reject", "text",
+)
 
 
 def _transactions(placed: DataFrame) -> DataFrame:
