@@ -65,6 +65,8 @@ def _place_tags(tags: DataFrame, stage: Callable[[DataFrame, str], DataFrame] |
             "part": part,
         },
         stage=stage,
+        among={"body": (_BODY,), "statement": (*_STATEMENTS, ""), "transaction": ("STMTTRN",), "part": (*_PARTS, *_IN_TRANSACTION, "STMTTRN", "")},
+        keep=opens & tag.isin(*_LEAVES),
     )
     leaf = F.when(opens & tag.isin(*_LEAVES), expand_entities(strip(F.col("text"))))
     # What stands before the body of its file is not part of the statement.
