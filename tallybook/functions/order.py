@@ -52,7 +52,8 @@ def carry_forward(
 
     ``among`` lists the values of marks that take few (63 at most); such a mark is carried as one number, which costs
     much less than a place and a value. A value that is not listed stops the job. ``keep`` tells which rows the result
-    has; others have only to hand on their marks.
+    has; others have only to hand on their marks. In it, ``_value_m`` is the value that mark ``m`` has within the chunk, null
+    where only earlier chunks can tell.
     """
     among = among or {}
     in_chunk = W.partitionBy(file, "chunk").orderBy("pos")

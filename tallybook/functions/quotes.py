@@ -60,11 +60,20 @@ def _ending() -> Column:
 BEFORE, LINE, AFTER, AGAIN = range(4)
 
 
+def quote_flags() -> dict[str, Column]:
+    """What ``text_events`` has to know of a ``line``: could a text that goes on open in it, is it a transaction header,
+    and its ``_ending``. All null for lines without a quote."""
+    line = F.col("line")
+    dated = ~line.rlike(r"^\d") | F.substring("line", 1, 10).try_cast("date").isNotNull()
+    flags = {"_opens": line.rlike(TEXT_OPENS) & dated, "_header": line.rlike(HEADER_OPENS), "_ending": _ending()}
+    return {name: F.when(line.contains('"'), flag) for name, flag in flags.items()}
+
+
 def text_events(lines: DataFrame, file: str, stage: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Where quoted texts that run over line ends begin and end, as rows between the lines.
 
-    Takes lines placed by ``file``, ``chunk`` and ``pos``; only those with a quote are looked at, and of these
-    only places and flags move. An event has ``file``, ``chunk``, ``pos`` (four times a line's, plus one of
+    Takes lines, or the ``quote_flags`` of lines, placed by ``file``, ``chunk`` and ``pos``; only lines with a quote are looked at, and of
+    these only places and flags move. An event has ``file``, ``chunk``, ``pos`` (four times a line's, plus one of
     the sides above), ``text`` (true from here on, false from here on) and:
 
     * ``starts``, before the first line of such a statement;
@@ -72,16 +81,16 @@ def text_events(lines: DataFrame, file: str, stage: Callable[[DataFrame, str], D
 
     A text that no line ends as a statement allows is none: the line that opens it stands alone,
     and those below are read as usual. Chunk ends change nothing. ``stage``, if given, writes the places and flags
-    and reads them back, so that the lines are searched for quotes once.
+    of these lines and reads them back.
     """
     keys = [file, "chunk"]
-    line, of = F.col("line"), W.partitionBy(*keys).orderBy("pos")
-    dated = ~line.rlike(r"^\d") | F.substring("line", 1, 10).try_cast("date").isNotNull()
+    of = W.partitionBy(*keys).orderBy("pos")
     opens = F.col("_opens")
     from_inside = F.when(F.col("_ending") == "again", True).when(F.col("_ending") == "no", opens).otherwise(False)
+    flagged = lines if "_ending" in lines.columns else lines.withColumns(quote_flags())
     quoted = (
-        lines.filter(line.contains('"'))
-        .select(*keys, "pos", (line.rlike(TEXT_OPENS) & dated).alias("_opens"), line.rlike(HEADER_OPENS).alias("_header"), _ending().alias("_ending"))
+        flagged.filter(F.col("_ending").isNotNull())
+        .select(*keys, "pos", "_opens", "_header", "_ending")
         .withColumn("_fixes", F.when(opens == from_inside, opens.cast("int")))
         .withColumn("_flip", (opens & F.col("_fixes").isNull()).cast("int"))
     )

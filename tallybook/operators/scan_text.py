@@ -7,11 +7,13 @@ the transaction header that opens their unbroken run of lines; "the line that op
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.order import carry_forward
-from tallybook.functions.quotes import LINE, text_events, whole_texts
+from tallybook.functions.quotes import LINE, quote_flags, text_events, whole_texts
 from tallybook.functions.text import (
     CUSTOM,
     HEADER,
@@ -71,7 +73,7 @@ def _kind() -> Column:
     )
 
 
-def scan_text(lines: DataFrame, folder: str | None = None) -> Book:
+def scan_text(lines: DataFrame, folder: str | None = None, tables: Sequence[str] = ()) -> Book:
     """Tables of a book given as ``file_no, chunk, pos, line``.
 
     Statement numbers are line numbers that run on over the files in ``file_no``
@@ -82,12 +84,18 @@ def scan_text(lines: DataFrame, folder: str | None = None) -> Book:
     Every table is a selection of the classified lines. With ``folder``, a shared
     folder, the lines are derived and written there once, then with their places and partitioned by kind of statement, and each table
     reads its own partition and the lines inside texts; without it, each table scans the text again.
+
+    ``tables`` names those that are wanted, all if none is; others are not in the book. Every line is read, classified and
+    numbered all the same, but lines that only other tables show are not staged, and what is staged for so few is not sorted by kind.
     """
-    stage = staging(lines.sparkSession, folder, by={"lines": "quoted", "rows": "kind"}) if folder is not None else None
-    classified = lines.select("file_no", "chunk", "pos", "line", _kind().alias("kind"), F.col("line").contains('"').alias("quoted"))
+    tables = tables or tuple(_KINDS_OF)
+    by = {"rows": "kind"} if len(tables) > 2 else None
+    stage = staging(lines.sparkSession, folder, by) if folder is not None else None
+    # What looks for quotes reads flags alone, so that no line is read or searched for that again.
+    classified = lines.select("file_no", "chunk", "pos", "line", _kind().alias("kind")).withColumns(quote_flags())
     if stage:
         classified = stage(classified, "lines")
-    events = text_events(classified.filter("quoted"), "file_no", stage).withColumns({"kind": F.lit(None).cast("string"), "line": F.lit(None).cast("string")})
+    events = text_events(classified, "file_no", stage).withColumns({"kind": F.lit(None).cast("string"), "line": F.lit(None).cast("string")})
     none = {"text": F.lit(None).cast("boolean"), "starts": F.lit(None).cast("int"), "opener": F.lit(None).cast("string")}
     kinds = classified.select("file_no", "chunk", (F.col("pos") * 4 + LINE).alias("pos"), "line", "kind").withColumns(none)
     is_line = F.col("kind").isNotNull()
@@ -100,7 +108,7 @@ def scan_text(lines: DataFrame, folder: str | None = None) -> Book:
         counts=is_line,
         stage=stage,
         among={"mark": _KINDS, "text": (True, False), "start": (1,)},
-        keep=is_line,
+        keep=is_line & _wanted(tables),
     )
     placed = placed.select(
         "file_no", F.col("number").alias("statement_no"), "kind", F.coalesce("text", F.lit(False)).alias("text"), F.col("mark").alias("opener"), F.col("mark_no").alias("opener_no"), "line", "start_no"
@@ -115,16 +123,32 @@ def scan_text(lines: DataFrame, folder: str | None = None) -> Book:
     single = placed.filter(~F.col("text"))
     columns = (*_PLACE, "kind", "opener", "line")
     whole = single.select(*columns).unionByName(joined.select(*columns))
-    return Book(
-        transactions=_transactions(whole),
-        postings=_postings(single),
-        verifications=_verifications(single),
-        informationals=_informationals(whole),
-        includes=whole.filter(F.col("kind") == "include").select(
+    found = {
+        "transactions": _transactions(whole),
+        "postings": _postings(single),
+        "verifications": _verifications(single),
+        "informationals": _informationals(whole),
+        "includes": whole.filter(F.col("kind") == "include").select(
             *_PLACE, _field(INCLUDE, 1).alias("path")
         ),
-        rejects=_rejects(whole),
-    )
+        "rejects": _rejects(whole),
+    }
+    return Book(**{name: found[name] if name in tables else None for name in _KINDS_OF})
+
+
+def _wanted(tables: Sequence[str]) -> Column:
+    """Can a line be in one of the tables, as far as its own chunk tells: is it of one of their kinds, or inside a text.
+
+    ``_value_text`` and ``_value_mark`` are null as long as an earlier chunk decides; such a line is kept.
+    """
+    kinds = sorted({kind for name in tables for kind in _KINDS_OF[name]} - {"posting"})
+    under_header = F.col("_value_mark") == "*"
+    wanted = F.coalesce("_value_text", F.lit(True)) | F.col("kind").isin(kinds)
+    if "postings" in tables:
+        wanted = wanted | ((F.col("kind") == "posting") & F.coalesce(under_header, F.lit(True)))
+    if "rejects" in tables:
+        wanted = wanted | ((F.col("kind") == "posting") & ~F.coalesce(under_header, F.lit(False)))
+    return wanted
 
 
 _PLACE = ("statement_no", "file_no")
@@ -134,6 +158,16 @@ _KINDS = (
     "posting", "blank", "comment", "other", "reject", "text",
 )
 
+#: The kinds of lines each table shows.
+_KINDS_OF = {
+    "transactions": ("*",),
+    "postings": ("posting",),
+    "verifications": ("open", "close", "balance"),
+    "informationals": ("event", "option", "custom"),
+    "includes": ("include",),
+    "rejects": ("reject", "posting"),
+}
+
 
 def _transactions(placed: DataFrame) -> DataFrame:
     return placed.filter(F.col("kind") == "*").select(

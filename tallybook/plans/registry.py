@@ -62,8 +62,8 @@ def _folder(star: Star, name: str) -> str | None:
     return shared_folder(star.spark, name) if star.spark.conf.get("spark.checkpoint.dir", None) else None
 
 
-def _book(star: Star) -> Book:
-    return scan_text(S.book_lines(star), _folder(star, "lines"))
+def _book(star: Star, *tables: str) -> Book:
+    return scan_text(S.book_lines(star), _folder(star, "lines"), tables)
 
 
 def _qfx(star: Star) -> Book:
@@ -84,7 +84,7 @@ def _reconciled(star: Star) -> DataFrame:
 
 
 def _scanned_postings(star: Star) -> DataFrame:
-    book = _book(star)
+    book = _book(star, "transactions", "postings")
     headers = book.transactions.select(F.col("statement_no").alias("transaction_no"), "narration")
     return book.postings.join(headers, "transaction_no").select(
         "narration", "account", "cp_quantity", "cp_commodity", "tc_quantity", "tc_commodity"
@@ -203,13 +203,13 @@ _QUERIES: dict[str, Callable[[Star], DataFrame]] = {
         normalise_verifications(S.verifications(s))
     )[1],
     # text in
-    "scan_text_transactions": lambda s: _book(s).transactions.drop("file_no"),
+    "scan_text_transactions": lambda s: _book(s, "transactions").transactions.drop("file_no"),
     "scan_text_postings": _scanned_postings,
-    "scan_text_verifications": lambda s: _book(s).verifications,
-    "scan_text_info": lambda s: _book(s).informationals.drop("statement_no"),
-    "scan_text_includes": lambda s: _book(s).includes.select("path"),
-    "scan_text_rejects": lambda s: _book(s).rejects.select("line", "reason"),
-    "scan_text_empty_headers": lambda s: transactions_without_postings(_book(s)).select(
+    "scan_text_verifications": lambda s: _book(s, "verifications").verifications,
+    "scan_text_info": lambda s: _book(s, "informationals").informationals.drop("statement_no"),
+    "scan_text_includes": lambda s: _book(s, "includes").includes.select("path"),
+    "scan_text_rejects": lambda s: _book(s, "rejects").rejects.select("line", "reason"),
+    "scan_text_empty_headers": lambda s: transactions_without_postings(_book(s, "transactions", "postings")).select(
         "date", "narration", "tags"
     ),
     # bank statements

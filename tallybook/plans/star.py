@@ -77,7 +77,7 @@ def _item_postings(star: Star) -> DataFrame:
         .select("s_suppkey", _text("Assets:", _dashed("r_name"), ":", _dashed("n_name"), ":S").alias("place"))
     )
     no_cost = _every("l_orderkey", 5) & (F.col("l_linenumber") == 3)
-    cost = F.col("l_extendedprice").cast("decimal(12,2)").cast(RAW)
+    cost = F.col("l_extendedprice").cast("decimal(12,2)")
     odd_cent = _every("l_orderkey", 19) & (F.col("l_linenumber") == 1)
     in_euro = _every("l_orderkey", 11) & _every("l_linenumber", 2)
     return star.lineitem.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select(
@@ -87,9 +87,8 @@ def _item_postings(star: Star) -> DataFrame:
         _text(F.col("place"), F.col("l_suppkey")).alias("account"),
         F.col("l_quantity").cast("decimal(12,2)").cast(RAW).alias("cp_quantity"),
         _text("P", F.col("l_partkey") % 20).alias("cp_commodity"),
-        F.when(~no_cost, F.when(odd_cent, cost + F.expr("0.005BD")).otherwise(cost))
-        .cast(RAW)
-        .alias("tc_quantity"),
+        # Widened last: sums of short decimals are sums of longs.
+        F.when(~no_cost, F.when(odd_cent, cost + F.expr("0.005BD")).otherwise(cost).cast(RAW)).alias("tc_quantity"),
         F.when(~no_cost, F.when(in_euro, "EUR").otherwise("USD")).alias("tc_commodity"),
     )
 
