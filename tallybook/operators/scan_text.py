@@ -101,17 +101,22 @@ def scan_text(lines: DataFrame, folder: str | None = None, tables: Sequence[str]
     is_line = F.col("kind").isNotNull()
     # What lines inside a text look like is put right by the event behind it.
     opener = F.coalesce("opener", F.when(F.col("kind") != "posting", F.col("kind")))
+    marks = {"text": F.col("_text"), "start": F.col("starts")}
+    # Only tables that show postings ask what opened their run.
+    if opened := any("posting" in _KINDS_OF[name] for name in tables):
+        marks["mark"] = opener
     placed = carry_forward(
-        kinds.unionByName(events).withColumnsRenamed({"opener": "_opener", "text": "_text"}).withColumnRenamed("_opener", "opener"),
-        {"mark": opener, "text": F.col("_text"), "start": F.col("starts")},
+        kinds.unionByName(events).withColumnRenamed("text", "_text"),
+        marks,
         file="file_no",
         counts=is_line,
         stage=stage,
         among={"mark": _KINDS, "text": (True, False), "start": (1,)},
         keep=is_line & _wanted(tables),
     )
+    of_run = (F.col("mark"), F.col("mark_no")) if opened else (F.lit(None).cast("string"), F.lit(None).cast("long"))
     placed = placed.select(
-        "file_no", F.col("number").alias("statement_no"), "kind", F.coalesce("text", F.lit(False)).alias("text"), F.col("mark").alias("opener"), F.col("mark_no").alias("opener_no"), "line", "start_no"
+        "file_no", F.col("number").alias("statement_no"), "kind", F.coalesce("text", F.lit(False)).alias("text"), of_run[0].alias("opener"), of_run[1].alias("opener_no"), "line", "start_no"
     )
     parts = placed.filter("text").select("start_no", "statement_no", "file_no", "line")
     joined = whole_texts(parts, "start_no", "statement_no", "file_no").withColumns(
