@@ -20,12 +20,15 @@ from tallybook.sources.lookups import last_entry_wins
 SLOTS = 16
 #: Rows of a table that one task derives postings from.
 _ROWS_PER_TASK = 500_000
+#: Suppliers whose places take 32 MB at most, which are broadcast.
+_FEW_SUPPLIERS = 500_000
 
 
 @dataclass(frozen=True)
 class Star:
     spark: SparkSession
     folder: str
+    rows_per_task: int | None = _ROWS_PER_TASK
 
     def __getattr__(self, table: str) -> DataFrame:
         if table.startswith("_"):
@@ -36,10 +39,17 @@ class Star:
     def _spread(self, rows: DataFrame) -> DataFrame:
         """A table whose files have fewer splits than there are cores is dealt to all of them:
         what is derived from a row costs much more than moving its few columns. So is one whose splits
-        hold very many rows, as a task's memory follows its rows. The files tell how many there are."""
-        parts = max(self.spark.sparkContext.defaultParallelism, -(-rows.count() // _ROWS_PER_TASK))
+        hold very many rows, as a task's memory follows its rows, unless ``rows_per_task`` is None. The files
+        tell how many there are."""
+        parts = self.spark.sparkContext.defaultParallelism
+        if self.rows_per_task is not None:
+            parts = max(parts, -(-rows.count() // self.rows_per_task))
         return rows.repartition(parts) if rows.rdd.getNumPartitions() < parts else rows
 
+    def rows(self, table: str) -> int:
+        """How many rows a table has, as its files tell."""
+        return self.spark.read.parquet(f"{self.folder}/{table}.parquet").count()
+
 
 def _text(*parts: Column | str) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -76,6 +86,9 @@ def _item_postings(star: Star) -> DataFrame:
         .join(star.region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select("s_suppkey", _text("Assets:", _dashed("r_name"), ":", _dashed("n_name"), ":S").alias("place"))
     )
+    # Items are not shuffled for a list that fits beside each task.
+    if star.rows("supplier") <= _FEW_SUPPLIERS:
+        places = F.broadcast(places)
     no_cost = _every("l_orderkey", 5) & (F.col("l_linenumber") == 3)
     cost = F.col("l_extendedprice").cast("decimal(12,2)")
     odd_cent = _every("l_orderkey", 19) & (F.col("l_linenumber") == 1)

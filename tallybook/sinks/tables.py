@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -39,3 +40,33 @@ def staging(spark: SparkSession, folder: str, by: Mapping[str, str] | None = Non
         return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
 
     return stage
+
+
+#: Whether the shuffle files of a query go when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries within leave no shuffle files; else these stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def staging_parts(spark: SparkSession, folder: str) -> Callable[[Iterable[DataFrame], str], DataFrame]:
+    """A function that writes the parts of a table below ``folder``, one after another, and reads them back as one.
+    What a part shuffled goes once it is written. A part that is there already stops the job."""
+
+    def stage(parts: Iterable[DataFrame], name: str) -> DataFrame:
+        paths = []
+        for part in parts:
+            paths.append(f"{folder}/{name}-{len(paths)}")
+            with _shuffles_removed(spark):
+                part.write.mode("errorifexists").option("compression", "zstd").parquet(paths[-1])
+        return spark.read.schema(part.schema).parquet(*paths)
+
+    return stage
